@@ -89,5 +89,5 @@ SIDE_VECTORS = f"""sides AS (
   SELECT index, 't' AS side, unnest(nsw) AS token FROM toks
   UNION ALL SELECT index, 'd', unnest(nd) FROM toks),
   sv AS MATERIALIZED (
-    SELECT index, side, {vec_id("token")} AS v, count(*) AS c FROM sides
-    GROUP BY ALL HAVING v < (SELECT n FROM n))"""
+    SELECT index, side, v, count(*) AS c FROM (SELECT index, side, {vec_id("token")} AS v FROM sides)
+    WHERE v < (SELECT n FROM n) GROUP BY index, side, v)"""

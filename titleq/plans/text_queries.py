@@ -360,8 +360,9 @@ def _tag_sql(t: str) -> str:
 
 RAW_TOKENS = r"regexp_extract_all(title, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
 
-TAGGED = f"""{sql.PRODUCTS}, raw AS (SELECT index, unnest({RAW_TOKENS}) AS token FROM products),
-  tagged AS (SELECT index, token, {_tag_sql("lower(token)")} AS tag FROM raw),
+TAGGED = f"""{sql.PRODUCTS}, lists AS (SELECT index, {RAW_TOKENS} AS l FROM products),
+  raw AS (SELECT index, unnest(l) AS token, generate_subscripts(l, 1) AS place FROM lists),
+  tagged AS (SELECT index, place, token, {_tag_sql("lower(token)")} AS tag FROM raw),
   tag_counts AS (
     SELECT index, count(*) AS words, count(*) FILTER (tag = 'NUM') AS count_num,
       count(*) FILTER (tag = 'ADJ') AS count_adj, count(*) FILTER (tag IN ('NOUN', 'PROPN')) AS count_noun,

@@ -1 +1,476 @@
-"""."""
+"""Estimators on the given tables. Most cannot be written in SQL; tests check their invariants."""
+
+from __future__ import annotations
+
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.ml.classification import (
+    DecisionTreeClassifier,
+    GBTClassifier,
+    LinearSVC,
+    LogisticRegression,
+    MultilayerPerceptronClassifier,
+    RandomForestClassifier,
+)
+from pyspark.ml.clustering import GaussianMixture
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import (
+    PCA,
+    OneHotEncoder,
+    StringIndexer,
+    VectorAssembler,
+    VectorIndexer,
+    Word2Vec,
+)
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text, words
+from ..functions.stems import snowball, stems
+from ..models import topics, training
+from ..operators import evaluate, features, layout, lexicon, similarity
+from ..schemas import CATEGORIES, CLARITY_FEATURES, CONCISE_FEATURES, EARLY_FEATURES
+from ..session import written
+from . import sql
+from .catalog import labels, products, word_vectors
+from .registry import query
+from .similarity_queries import clarity_frame
+
+SEED = training.SEED
+
+
+def concise_frame(spark, sf_dir) -> DataFrame:
+    return training.concise_frame(products(spark, sf_dir), labels(spark, sf_dir))
+
+
+def labelled_clarity(spark, sf_dir) -> DataFrame:
+    """Labelled products with the clarity features, stored once."""
+    rows = clarity_frame(spark, sf_dir).join(labels(spark, sf_dir), "index")
+    seg = products(spark, sf_dir, False).select("index", features.in_segment_a().alias("seg_a"))
+    return written(rows.join(seg, "index"), "clarity_frame")
+
+
+# ---- transformers -------------------------------------------------------------------------------
+
+
+@query(
+    "ml_count_vectorizer",
+    f"""WITH {sql.TOKENS}, o AS (SELECT unnest(nsw) AS term FROM toks)
+SELECT term, count(*) AS n FROM o GROUP BY term""",
+)
+def _(spark, sf_dir):
+    rows = products(spark, sf_dir).select(text.useful_words(F.col("title")).alias("tokens"))
+    return topics.term_totals(*topics.bag_of_words(rows, "tokens"))
+
+
+@query(
+    "ml_assemble",
+    f"""WITH {sql.CONCISE}, {sql.LABELS} SELECT index, concise::DOUBLE AS label, {", ".join(
+        f"{c}::DOUBLE AS {c}" for c in CONCISE_FEATURES)}
+FROM concise_features JOIN lab USING (index)""",
+)
+def _(spark, sf_dir):
+    rows = concise_frame(spark, sf_dir).withColumn("v", vector_to_array("features"))
+    return rows.select(
+        "index", "label", *[F.col("v")[i].alias(c) for i, c in enumerate(CONCISE_FEATURES)]
+    )
+
+
+@query(
+    "ml_one_hot",
+    f"""WITH {sql.PRODUCTS} SELECT index, {", ".join(
+        f"(category_1 = {sql.quoted([c])})::INTEGER::DOUBLE AS is_{i}"
+        for i, c in enumerate(sorted(CATEGORIES)))} FROM products""",
+)
+def _(spark, sf_dir):
+    rows = products(spark, sf_dir, False).select("index", "category_1")
+    number = StringIndexer(
+        inputCol="category_1", outputCol="number", stringOrderType="alphabetAsc"
+    )
+    hot = OneHotEncoder(inputCol="number", outputCol="hot", dropLast=False)
+    out = training.pipeline(number, hot).fit(rows).transform(rows)
+    out = out.withColumn("v", vector_to_array("hot"))
+    return out.select("index", *[F.col("v")[i].alias(f"is_{i}") for i in range(len(CATEGORIES))])
+
+
+@query(
+    "ml_indexers",
+    f"""WITH {sql.CONCISE}, {sql.LABELS}, r AS (SELECT index, category_1, clarity, repeat_tokens
+    FROM concise_features JOIN lab USING (index)),
+  o AS (SELECT category_1, row_number() OVER (ORDER BY count(*) DESC, category_1) - 1 AS number
+    FROM r GROUP BY category_1)
+SELECT index, number::DOUBLE AS category_number, clarity::DOUBLE AS clarity_index,
+  repeat_tokens::DOUBLE AS repeat_tokens FROM r JOIN o USING (category_1)""",
+)
+def _(spark, sf_dir):
+    """Categories numbered by frequency; features of at most four values become categories."""
+    rows = features.concise_features(products(spark, sf_dir)).join(labels(spark, sf_dir), "index")
+    rows = VectorAssembler(inputCols=["clarity", "repeat_tokens"], outputCol="raw").transform(rows)
+    rows = rows.select("index", "category_1", "raw")
+    number = StringIndexer(inputCol="category_1", outputCol="category_number")
+    index = VectorIndexer(inputCol="raw", outputCol="indexed", maxCategories=4)
+    out = training.pipeline(number, index).fit(rows).transform(rows)
+    out = out.withColumn("v", vector_to_array("indexed"))
+    return out.select(
+        "index",
+        "category_number",
+        F.col("v")[0].alias("clarity_index"),
+        F.col("v")[1].alias("repeat_tokens"),
+    )
+
+
+_PCA_COLUMNS = [c for c in CLARITY_FEATURES if "topic" not in c and not c.endswith("_dup")]
+
+
+@query("ml_pca")
+def _(spark, sf_dir):
+    rows = written(clarity_frame(spark, sf_dir), "clarity_frame")
+    rows = VectorAssembler(inputCols=_PCA_COLUMNS, outputCol="features").transform(rows)
+    out = PCA(k=10, inputCol="features", outputCol="pca").fit(rows).transform(rows)
+    out = out.withColumn("v", vector_to_array("pca"))
+    return out.select("index", *[F.round(F.col("v")[i], 6).alias(f"pc{i + 1}") for i in range(10)])
+
+
+def _sentences(spark, sf_dir) -> DataFrame:
+    both = F.concat(text.useful_words(F.col("title")), text.useful_words(text.text("description")))
+    return products(spark, sf_dir).select("index", both.alias("tokens"))
+
+
+def word2vec(rows: DataFrame, tokens: str, min_count: int = 1):
+    """Word vectors trained on token lists.
+
+    Training runs in as many partitions as shuffles have. The vocabulary and its vectors are held
+    by the driver, as in every fit of this estimator, so ``min_count`` must rise with the corpus.
+    """
+    return Word2Vec(
+        inputCol=tokens, outputCol="doc_vec", vectorSize=200, windowSize=5, minCount=min_count,
+        numPartitions=layout.shuffle_width(rows), seed=SEED,
+    ).fit(rows)
+
+
+@query("ml_word2vec")
+def _(spark, sf_dir):
+    vectors = word2vec(_sentences(spark, sf_dir), "tokens").getVectors()
+    norm = F.sqrt(similarity.dot(F.col("v"), F.col("v")))
+    return vectors.withColumn("v", vector_to_array("vector")).select(
+        F.col("word").alias("token"), F.size("v").alias("dim"), F.round(norm, 6).alias("norm")
+    )
+
+
+@query("ml_word2vec_similarity")
+def _(spark, sf_dir):
+    """Word-pair mean similarity under vectors trained on the same texts."""
+    trained = word2vec(_sentences(spark, sf_dir), "tokens").getVectors()
+    stored = written(
+        trained.select(F.col("word").alias("vec_id"), vector_to_array("vector").alias("vec")),
+        "trained_vectors",
+    )
+    vectors = similarity.WordVectors(stored, F.col("token"), stored.count(), 200)
+    return similarity.pair_mean(
+        products(spark, sf_dir, False),
+        text.useful_words(F.col("title")),
+        text.useful_words(text.text("description")),
+        vectors,
+    ).select("index", F.round("w2v_score", 6).alias("w2v_score"))
+
+
+@query("ml_doc_vectors")
+def _(spark, sf_dir):
+    """A vector per title: the mean of its word vectors; words seen fewer than five times fall out."""
+    rows = products(spark, sf_dir).select("index", text.useful_words(F.col("title")).alias("tokens"))
+    out = word2vec(rows, "tokens", min_count=5).transform(rows)
+    v = vector_to_array("doc_vec")
+    return out.withColumn("v", v).select(
+        "index", F.round(F.sqrt(similarity.dot(F.col("v"), F.col("v"))), 6).alias("norm")
+    )
+
+
+def _topic_titles(spark, sf_dir) -> DataFrame:
+    tokens = text.without(
+        stems(text.useful_words(F.col("title")), snowball), words.TOPIC_STOP_WORDS
+    )
+    rows = products(spark, sf_dir).select(
+        "index", features.in_segment_a().alias("seg_a"), tokens.alias("tokens")
+    )
+    return written(rows, "topic_titles")
+
+
+@query("ml_lda_topics")
+def _(spark, sf_dir):
+    rows = _topic_titles(spark, sf_dir)
+    parts = [
+        topics.learn(rows.where(F.col("seg_a") == s), "tokens").withColumn("seg_a", F.lit(s))
+        for s in (True, False)
+    ]
+    out = parts[0].unionByName(parts[1])
+    return out.select("seg_a", "topic", "rank", "term", F.round("weight", 9).alias("weight"))
+
+
+@query("ml_lda_overlap")
+def _(spark, sf_dir):
+    """Titles against the topics learnt on their own segment."""
+    rows = _topic_titles(spark, sf_dir)
+    parts = []
+    for s in (True, False):
+        segment = rows.where(F.col("seg_a") == s)
+        lists = lexicon.topic_lists(topics.learn(segment, "tokens"))
+        parts.append(lexicon.topic_overlap(segment, "tokens", lists))
+    return parts[0].unionByName(parts[1]).select("index", "seg_a", "max_words_topic", "topic_num")
+
+
+@query("ml_gmm_two_class")
+def _(spark, sf_dir):
+    """Two clusters of the rest segment; the larger one in training counts as clear."""
+    columns = [c for c in CLARITY_FEATURES if c != "w2v_score"]
+    rows = labelled_clarity(spark, sf_dir).where(~F.col("seg_a"))
+    rows = training.assembled(rows, columns, "clarity").select("index", "label", "features")
+    train, test = evaluate.split(rows, 0.8)
+    model = GaussianMixture(k=2, seed=SEED, predictionCol="cluster").fit(train)
+    sizes = {r["cluster"]: r["count"] for r in model.transform(train).groupBy("cluster").count().collect()}
+    ones = 1 if sizes.get(1, 0) > sizes.get(0, 0) else 0
+    return model.transform(test).select(
+        "index", "label", (F.col("cluster") == ones).cast("double").alias("prediction")
+    )
+
+
+# ---- classifiers --------------------------------------------------------------------------------
+
+
+@query("ml_logreg")
+def _(spark, sf_dir):
+    train, test = evaluate.split(training.with_fold(concise_frame(spark, sf_dir)), 0.8)
+    lr = LogisticRegression(maxIter=10)
+    grid = (
+        ParamGridBuilder()
+        .addGrid(lr.regParam, [0.1, 0.01])
+        .addGrid(lr.fitIntercept, [False, True])
+        .build()
+    )
+    return training.predictions(
+        training.fit_and_score(training.cross_validated(lr, grid), train, test)
+    )
+
+
+@query("ml_dtree")
+def _(spark, sf_dir):
+    train, test = evaluate.split(training.with_fold(concise_frame(spark, sf_dir)), 0.8)
+    tree = DecisionTreeClassifier(seed=SEED)
+    grid = ParamGridBuilder().addGrid(tree.maxDepth, [2, 3, 5]).build()
+    return training.predictions(
+        training.fit_and_score(training.cross_validated(tree, grid), train, test)
+    )
+
+
+@query("ml_gbt_total")
+def _(spark, sf_dir):
+    train, test = evaluate.split(training.with_fold(concise_frame(spark, sf_dir)))
+    gbt, grid = training.final_gbt()
+    return training.predictions(
+        training.fit_and_score(training.cross_validated(gbt, grid), train, test)
+    )
+
+
+@query("ml_gbt_per_category")
+def _(spark, sf_dir):
+    return training.per_category(concise_frame(spark, sf_dir), CATEGORIES)
+
+
+def _indexed(rows: DataFrame) -> list:
+    """Stages that number the labels and find categorical features."""
+    return [
+        StringIndexer(inputCol="label", outputCol="indexedLabel").fit(rows),
+        VectorIndexer(inputCol="features", outputCol="indexedFeatures", maxCategories=4).fit(rows),
+    ]
+
+
+@query("ml_gbt_indexed")
+def _(spark, sf_dir):
+    """Label and category indexers with boosted trees, tuned over the larger grid."""
+    rows = training.with_fold(concise_frame(spark, sf_dir))
+    train, test = evaluate.split(rows)
+    gbt = GBTClassifier(
+        labelCol="indexedLabel", featuresCol="indexedFeatures", maxIter=10, seed=SEED
+    )
+    grid = (
+        ParamGridBuilder()
+        .addGrid(gbt.maxBins, [32, 16, 8])
+        .addGrid(gbt.maxDepth, [2, 3, 5])
+        .addGrid(gbt.minInfoGain, [0.0, 2.0, 5.0])
+        .build()
+    )
+    accuracy = MulticlassClassificationEvaluator(labelCol="indexedLabel", metricName="accuracy")
+    chain = training.pipeline(*_indexed(rows), gbt)
+    search = training.cross_validated(chain, grid, evaluator=accuracy)
+    return training.fit_and_score(search, train, test).select(
+        "index", "indexedLabel", "prediction",
+        F.round(vector_to_array("probability")[1], 9).alias("p1"),
+    )
+
+
+@query("ml_linear_svc")
+def _(spark, sf_dir):
+    train, test = evaluate.split(concise_frame(spark, sf_dir))
+    svc = LinearSVC(maxIter=10)
+    grid = ParamGridBuilder().addGrid(svc.regParam, [0.1, 0.01]).build()
+    accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
+    search = training.train_validation(svc, grid, 0.8, accuracy)
+    return training.fit_and_score(search, train, test).select(
+        "index", "label", "prediction",
+        F.round(vector_to_array("rawPrediction")[1], 9).alias("margin"),
+    )
+
+
+@query("ml_tvs")
+def _(spark, sf_dir):
+    """Early features, logistic regression tuned on one train/validation split."""
+    rows = features.concise_features(products(spark, sf_dir)).join(labels(spark, sf_dir), "index")
+    rows = written(rows.select("index", "concise", *EARLY_FEATURES), "early_frame")
+    rows = training.assembled(rows, EARLY_FEATURES, "concise").select("index", "features", "label")
+    lr = LogisticRegression(maxIter=10)
+    grid = (
+        ParamGridBuilder()
+        .addGrid(lr.regParam, [0.1, 0.01])
+        .addGrid(lr.fitIntercept, [False, True])
+        .build()
+    )
+    return training.predictions(
+        training.train_validation(lr, grid, 0.7).fit(rows).transform(rows)
+    )
+
+
+@query("ml_pca_logreg")
+def _(spark, sf_dir):
+    """Logistic regression on ten principal components of the clarity features."""
+    rows = labelled_clarity(spark, sf_dir)
+    rows = training.assembled(rows, _PCA_COLUMNS, "clarity").select("index", "features", "label")
+    train, test = evaluate.split(rows, 0.8)
+    lr = LogisticRegression(maxIter=30, featuresCol="pcaFeatures")
+    grid = (
+        ParamGridBuilder()
+        .addGrid(lr.regParam, [0.1, 0.01])
+        .addGrid(lr.fitIntercept, [False, True])
+        .build()
+    )
+    pca = PCA(k=10, inputCol="features", outputCol="pcaFeatures").fit(rows)
+    search = training.train_validation(lr, grid, 0.8)
+    return training.predictions(search.fit(pca.transform(train)).transform(pca.transform(test)))
+
+
+@query("ml_boosted_segments")
+def _(spark, sf_dir):
+    """Boosted trees per segment on the clarity features, with the threshold sweep of the scores."""
+    columns = [c for c in CLARITY_FEATURES if c != "w2v_score"]
+    rows = labelled_clarity(spark, sf_dir)
+    rows = training.assembled(rows, columns, "clarity").select("index", "seg_a", "features", "label")
+    train, test = evaluate.split(rows, 0.8)
+    gbt = GBTClassifier(maxDepth=7, stepSize=0.5, maxIter=20, seed=SEED)
+
+    def one(segment: bool) -> DataFrame:
+        here = F.col("seg_a") == segment
+        return training.predictions(
+            gbt.fit(train.where(here)).transform(test.where(here)), "seg_a"
+        )
+
+    with ThreadPoolExecutor(2) as pool:
+        parts = list(pool.map(one, (True, False)))
+    return evaluate.threshold_sweep(parts[0].unionByName(parts[1]), ["seg_a"], score="p1")
+
+
+@query("ml_random_forest")
+def _(spark, sf_dir):
+    """Segment of a product from its title vector."""
+    train, test = evaluate.split(_title_vectors(spark, sf_dir), 0.8)
+    forest = RandomForestClassifier(featureSubsetStrategy="50", seed=SEED)
+    return training.predictions(training.fit_and_score(forest, train, test))
+
+
+@query("ml_mlp")
+def _(spark, sf_dir):
+    """Segment of a product from its title vector, by a network with one hidden layer."""
+    rows = _title_vectors(spark, sf_dir)
+    width = word_vectors(spark, sf_dir).dim
+    train, test = evaluate.split(rows, 0.8)
+    net = MultilayerPerceptronClassifier(layers=[width, (width + 2) // 2, 2], maxIter=50, seed=SEED)
+    return training.predictions(training.fit_and_score(net, train, test))
+
+
+def _title_vectors(spark, sf_dir) -> DataFrame:
+    """(index, features, label): title vectors and the segment as the label, stored."""
+    titles = products(spark, sf_dir, False).select("index", "title")
+    sums = similarity.text_vector(
+        titles, text.useful_words(F.col("title")), word_vectors(spark, sf_dir)
+    )
+    seg = products(spark, sf_dir, False).select(
+        "index", features.in_segment_a().cast("double").alias("label")
+    )
+    rows = written(sums.join(seg, "index").select("index", "vec", "label"), "title_vectors")
+    return rows.select("index", array_to_vector("vec").alias("features"), "label")
+
+
+def over_folds(rows: DataFrame, estimator, k: int, workers: int = 3) -> DataFrame:
+    """Scored rows of a k-fold run; ``rows`` carries ``fold``. Fits are submitted by few threads.
+
+    A fold whose training rows have one class only predicts that class.
+    """
+    ends = {
+        r["fold"]: (r["low"], r["high"])
+        for r in rows.groupBy("fold").agg(F.min("label").alias("low"), F.max("label").alias("high")).collect()
+    }
+
+    def one(f: int) -> DataFrame:
+        test = rows.where(F.col("fold") == f)
+        seen = [e for g, e in ends.items() if g != f]
+        low, high = min(a for a, _ in seen), max(b for _, b in seen)
+        if low == high:
+            scored = test.withColumn("prediction", F.lit(low))
+        else:
+            scored = estimator.fit(rows.where(F.col("fold") != f)).transform(test)
+        return scored.select("index", "fold", "label", "prediction")
+
+    with ThreadPoolExecutor(workers) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, sorted(ends)))
+
+
+def _fold_metrics(scored: DataFrame) -> DataFrame:
+    y, p = F.col("label"), F.col("prediction")
+    return scored.groupBy("fold").agg(
+        F.count("*").alias("n"),
+        F.round(evaluate.accuracy(), 9).alias("accuracy"),
+        F.round(evaluate.rmse("label", "prediction"), 9).alias("rmse"),
+        F.count_if((y == 0) & (p == 0)).alias("tn"),
+        F.count_if((y == 0) & (p == 1)).alias("fp"),
+        F.count_if((y == 1) & (p == 0)).alias("fn"),
+        F.count_if((y == 1) & (p == 1)).alias("tp"),
+    )
+
+
+@query("ml_logreg_kfold")
+def _(spark, sf_dir):
+    """Clarity of fashion titles from the five best word similarities, ten contiguous folds."""
+    df = products(spark, sf_dir, False).where(F.col("category_1") == "Fashion")
+    profile = similarity.top5_profile(
+        df,
+        text.fold_tokens(F.col("title")),
+        text.fold_tokens(text.text("description")),
+        word_vectors(spark, sf_dir),
+    )
+    columns = [f"s{i}" for i in range(1, 6)]
+    rows = written(profile.join(labels(spark, sf_dir), "index").select("index", "clarity", *columns), "profile")
+    rows = evaluate.with_folds(training.assembled(rows, columns, "clarity"), 10, "index")
+    return _fold_metrics(over_folds(rows, LogisticRegression(), 10))
+
+
+@query("ml_svc_kfold")
+def _(spark, sf_dir):
+    """Clarity from title vectors by a support vector machine, five contiguous folds."""
+    titles = products(spark, sf_dir, False).select("index", "title")
+    sums = similarity.text_vector(titles, text.title_words(F.col("title")), word_vectors(spark, sf_dir))
+    rows = written(sums.join(labels(spark, sf_dir), "index").select("index", "vec", "clarity"), "title_vectors")
+    rows = rows.select(
+        "index", array_to_vector("vec").alias("features"), F.col("clarity").cast("double").alias("label")
+    )
+    rows = evaluate.with_folds(rows, 5, "index")
+    return _fold_metrics(over_folds(rows, LinearSVC(maxIter=50), 5))

@@ -26,7 +26,12 @@ def _ends(t: Column, endings: list[str]) -> Column:
 
 
 def tag(t: Column) -> Column:
-    low = F.lower(t)
+    """Tag of one token."""
+    # The one-element array binds the lower-cased token, so it is computed once.
+    return F.element_at(F.transform(F.array(F.lower(t)), _rule), 1)
+
+
+def _rule(low: Column) -> Column:
     return (
         F.when(low.rlike("^[0-9][0-9_]*$") | low.isin(NUMBER_WORDS), "NUM")
         .when(low.rlike(r"^[$%+=<>~^&#@|*/]$"), "SYM")

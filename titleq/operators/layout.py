@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 HOT_PARTS = 1000
 BROADCAST_BYTES = 64 << 20
 
@@ -45,14 +47,18 @@ def split_lookup(
     key: str,
     freq: DataFrame | None = None,
     keep: bool = False,
+    stored: bool = False,
     parts: int = HOT_PARTS,
 ) -> DataFrame:
     """Attach the columns of ``table`` (unique ``key``) to ``rows``, whatever the skew.
 
     Rows with a hot key meet a broadcast of the fewer than ``parts`` hot table rows and do not
     move. The others are joined by an ordinary shuffle in which no key holds more than one
-    ``parts``-th of the rows. ``keep`` keeps rows without a match, null keys included.
+    ``parts``-th of the rows. ``keep`` keeps rows without a match, null keys included. The rows are
+    read by each of these branches and stored first unless they are ``stored`` already.
     """
+    if not stored:
+        rows = written(rows, "lookup_rows")
     if freq is None:
         freq = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     how = "left" if keep else "inner"

@@ -1,17 +1,19 @@
 """Similarity of titles and descriptions.
 
-All of it works on one row per distinct word of each text, with the number of repetitions. Texts
-are shuffled once by ``index``; the groupings by (index, side, token) and by index reuse that
-layout.
+All of it starts from one row per distinct word of each text, with the number of repetitions
+(``side_words``). Texts are shuffled once by ``index``; the groupings by (index, side, token), by
+(index, token) and by index reuse that layout. Store the words with ``session.written`` if several
+scores are taken from them.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .layout import by_key, lookup, split_lookup
 
 BLOCK = 512
@@ -35,21 +37,15 @@ def side_words(products: DataFrame, title: Column, description: Column) -> DataF
     )
 
 
-def paired_words(products: DataFrame, title: Column, description: Column) -> DataFrame:
-    """(index, token, n_t, n_d): distinct words with their counts in title and description."""
-    sides = F.array(
-        F.struct(F.lit(1).alias("in_title"), title.alias("tokens")),
-        F.struct(F.lit(0).alias("in_title"), description.alias("tokens")),
-    )
-    return (
-        by_key(products.select("index", "title", "description"))
-        .select("index", F.inline(sides))
-        .select("index", "in_title", F.explode_outer("tokens").alias("token"))
-        .groupBy("index", "token")
-        .agg(
-            F.sum("in_title").alias("n_t"),
-            F.sum(1 - F.col("in_title")).alias("n_d"),
-        )
+def known(words: DataFrame) -> DataFrame:
+    """The rows that hold a word."""
+    return words.where(F.col("token").isNotNull())
+
+
+def _paired(words: DataFrame) -> DataFrame:
+    """(index, token, n_t, n_d): counts of every word in title and description."""
+    return words.groupBy("index", "token").agg(
+        *[F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(f"n_{s}") for s in "td"]
     )
 
 
@@ -60,41 +56,39 @@ def _weighted_cosine(name: str) -> Column:
     return F.coalesce(F.try_divide(F.sum(t * d), norm), F.lit(0.0)).alias(name)
 
 
-def tfidf_corpus(
-    products: DataFrame, title: Column, description: Column, name: str = "tf_score"
-) -> DataFrame:
-    """TF-IDF cosine with frequencies over the whole corpus of titles and descriptions."""
-    rows = paired_words(products, title, description)
-    df = (
-        rows.where(F.col("token").isNotNull())
-        .groupBy("token")
-        .agg(
-            F.sum((F.col("n_t") > 0).cast("long") + (F.col("n_d") > 0).cast("long")).alias("df"),
-            F.count("*").alias("n"),
-        )
+def tfidf_corpus(words: DataFrame, texts: Column, name: str = "tf_score") -> DataFrame:
+    """TF-IDF cosine with frequencies over the whole corpus; ``texts`` is the number of texts.
+
+    The counts are stored because they are read for the dictionary and again for the lookup.
+    """
+    rows = written(_paired(words), "paired_words")
+    seen = [(F.col(f"n_{s}") > 0).cast("long") for s in "td"]
+    terms = known(rows).groupBy("token").agg(
+        F.sum(seen[0] + seen[1]).alias("df"), F.count("*").alias("n")
+    )
+    terms = written(terms, "terms")
+    idf = terms.select("token", (F.log((texts + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    found = split_lookup(
+        rows, idf, "token", freq=terms.select("token", "n"), keep=True, stored=True
     )
-    texts = products.agg(F.count("*") * 2).scalar()
-    idf = df.select("token", (F.log((texts + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    found = split_lookup(rows, idf, "token", freq=df.select("token", "n"), keep=True)
     return found.groupBy("index").agg(_weighted_cosine(name))
 
 
-def tfidf_pair(
-    products: DataFrame, title: Column, description: Column, name: str = "tf_pair_score"
-) -> DataFrame:
+def tfidf_pair(words: DataFrame, name: str = "tf_pair_score") -> DataFrame:
     """TF-IDF cosine with frequencies over just the two texts of the row."""
-    rows = paired_words(products, title, description)
     df = (F.col("n_t") > 0).cast("int") + (F.col("n_d") > 0).cast("int")
-    rows = rows.withColumn(
-        "idf", F.when(F.col("token").isNotNull(), F.log(F.lit(3.0) / (df + 1)) + 1)
-    )
-    return rows.groupBy("index").agg(_weighted_cosine(name))
+    idf = F.when(F.col("token").isNotNull(), F.log(F.lit(3.0) / (df + 1)) + 1)
+    return _paired(words).withColumn("idf", idf).groupBy("index").agg(_weighted_cosine(name))
 
 
 def unit(vec: Column) -> Column:
     """Vector over its length; the zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(vec, lambda x: x / norm)).otherwise(vec)
+    # The one-element array binds the length, or it would be computed again for every cell.
+    scaled = F.transform(
+        F.array(norm), lambda n: F.when(n > 0, F.transform(vec, lambda x: x / n)).otherwise(vec)
+    )
+    return F.element_at(scaled, 1)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -134,34 +128,22 @@ def _both_sides(sums: DataFrame) -> DataFrame:
     )
 
 
-def pair_mean(
-    products: DataFrame,
-    title: Column,
-    description: Column,
-    vectors: WordVectors,
-    name: str = "w2v_score",
-) -> DataFrame:
+def pair_mean(words: DataFrame, vectors: WordVectors, name: str = "w2v_score") -> DataFrame:
     """Mean cosine over all pairs of a title word and a description word.
 
-    The mean of the cosines is the product of the mean unit vectors, so no pair is formed. Null if
-    one side has no known word.
+    The mean of the cosines is the product of the mean unit vectors, so no pair is formed. Rows
+    with a side without known words fall out or are null.
     """
-    words = side_words(products, title, description).where(F.col("token").isNotNull())
-    both = _both_sides(vectors.summed(words, "index", "side", normalised=True))
+    both = _both_sides(vectors.summed(known(words), "index", "side", normalised=True))
     score = dot(F.col("vec_t"), F.col("vec_d")) / (F.col("known_t") * F.col("known_d"))
     return both.select("index", score.alias(name))
 
 
 def mean_vector_cosine(
-    products: DataFrame,
-    title: Column,
-    description: Column,
-    vectors: WordVectors,
-    name: str = "sp_score",
+    words: DataFrame, vectors: WordVectors, name: str = "sp_score"
 ) -> DataFrame:
     """Cosine of the mean word vectors of the two texts; null if one has no known word."""
-    words = side_words(products, title, description).where(F.col("token").isNotNull())
-    both = _both_sides(vectors.summed(words, "index", "side"))
+    both = _both_sides(vectors.summed(known(words), "index", "side"))
     t, d = F.col("vec_t"), F.col("vec_d")
     score = F.try_divide(dot(t, d), F.sqrt(dot(t, t)) * F.sqrt(dot(d, d)))
     return both.select("index", score.alias(name))
@@ -170,36 +152,52 @@ def mean_vector_cosine(
 def text_vector(texts: DataFrame, tokens: Column, vectors: WordVectors) -> DataFrame:
     """(index, known, vec): sum of the word vectors of each text; texts without one fall out."""
     words = (
-        by_key(texts).select("index", F.explode(tokens).alias("token"))
-        .groupBy("index", "token").agg(F.count("*").alias("n"))
+        by_key(texts)
+        .select("index", F.explode(tokens).alias("token"))
+        .groupBy("index", "token")
+        .agg(F.count("*").alias("n"))
     )
     return vectors.summed(words, "index")
 
 
+def _cells(column: pa.Array) -> list[np.ndarray]:
+    """The lists of an Arrow list column as numpy views."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def _block_top(batches):
     """Five largest similarities of each title word with the words of one description block."""
-    for pdf in batches:
-        out = []
-        for index, t_first, t_n, t_vec, d_n, d_vec in zip(
-            pdf["index"], pdf["t_first"], pdf["t_n"], pdf["t_vec"], pdf["d_n"], pdf["d_vec"]
-        ):
-            a, b = np.stack(t_vec), np.stack(d_vec)
-            b = np.repeat(b, np.minimum(d_n, 5), axis=0)
-            sims = a @ b.T
-            if sims.shape[1] > 5:
-                sims = -np.partition(-sims, 4, axis=1)[:, :5]
-            out.append(
-                pd.DataFrame(
-                    {"index": index, "first": t_first, "n": t_n, "sims": list(sims)}
-                )
-            )
-        if out:
-            yield pd.concat(out, ignore_index=True)
-
-
-def top5_profile(
-    products: DataFrame, title: Column, description: Column, vectors: WordVectors
-) -> DataFrame:
+    for batch in batches:
+        index, first, n, sims = [], [], [], []
+        columns = [_cells(batch.column(c)) for c in ("t_first", "t_n", "t_vec", "d_n", "d_vec")]
+        for key, t_first, t_n, t_vec, d_n, d_vec in zip(batch.column("index").to_numpy(), *columns):
+            a, b = t_vec.reshape(len(t_n), -1), d_vec.reshape(len(d_n), -1)
+            best = np.repeat(a @ b.T, np.minimum(d_n, 5), axis=1)
+            if best.shape[1] > 5:
+                best = -np.partition(-best, 4, axis=1)[:, :5]
+            index.append(np.full(len(t_n), key))
+            first.append(t_first)
+            n.append(t_n)
+            sims.append(best)
+        if not index:
+            continue
+        widths = np.concatenate([np.full(len(x), x.shape[1]) for x in sims])
+        ends = np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate(index), pa.int64()),
+                pa.array(np.concatenate(first), pa.int32()),
+                pa.array(np.concatenate(n), pa.int64()),
+                pa.ListArray.from_arrays(
+                    pa.array(ends), pa.array(np.concatenate([x.ravel() for x in sims]), pa.float64())
+                ),
+            ],
+            names=["index", "first", "n", "sims"],
+        )
+
+
+def top5_profile(words: DataFrame, vectors: WordVectors) -> DataFrame:
     """(index, s1..s5): the five best similarities of the title with the description.
 
     With at least five title words every word counts by the mean of its five best; with fewer, all
@@ -207,28 +205,29 @@ def top5_profile(
 
     The words of a text are packed into blocks of at most ``BLOCK`` neighbouring words. Pairs of
     blocks of the same row meet in one task, which keeps five values per title word; word pairs are
-    never rows, and no task holds more than two blocks of a text at a time.
+    never rows, and no task holds more than a batch of blocks at a time.
     """
-    words = side_words(products, title, description)
     lengths = words.groupBy("index").agg(
         F.sum(F.when(F.col("side") == "t", F.col("n")).otherwise(0)).alias("title_len")
     )
-    found = vectors.attach(words.where(F.col("token").isNotNull()), normalised=True)
-    blocks = found.groupBy("index", "side", (F.col("first") / BLOCK).cast("int").alias("block")).agg(
-        F.collect_list(F.struct("first", "n", "vec")).alias("words")
-    )
-    t = blocks.where("side = 't'").select(
-        "index",
-        F.col("words.first").alias("t_first"),
-        F.col("words.n").alias("t_n"),
-        F.col("words.vec").alias("t_vec"),
+    found = vectors.attach(known(words), normalised=True)
+    block = (F.col("first") / BLOCK).cast("int").alias("block")
+    blocks = (
+        found.groupBy("index", "side", block)
+        .agg(F.collect_list(F.struct("first", "n", "vec")).alias("words"))
+        .select(
+            "index", "side", "words.first", "words.n", F.flatten("words.vec").alias("vec")
+        )
     )
-    d = blocks.where("side = 'd'").select(
-        "index", F.col("words.n").alias("d_n"), F.col("words.vec").alias("d_vec")
+    t, d = (
+        blocks.where(F.col("side") == s).select(
+            "index", *[F.col(c).alias(f"{s}_{c}") for c in ("first", "n", "vec")]
+        )
+        for s in "td"
     )
     best = (
-        t.join(d, "index")
-        .mapInPandas(_block_top, "index long, first int, n long, sims array<double>")
+        t.join(d.drop("d_first"), "index")
+        .mapInArrow(_block_top, "index long, first int, n long, sims array<double>")
         .groupBy("index", "first", "n")
         .agg(
             F.slice(

@@ -169,12 +169,14 @@ def _(spark, sf_dir):
         "trained_vectors",
     )
     vectors = similarity.WordVectors(stored, F.col("token"), stored.count(), 200)
-    return similarity.pair_mean(
+    pairs = similarity.side_words(
         products(spark, sf_dir, False),
         text.useful_words(F.col("title")),
         text.useful_words(text.text("description")),
-        vectors,
-    ).select("index", F.round("w2v_score", 6).alias("w2v_score"))
+    )
+    return similarity.pair_mean(pairs, vectors).select(
+        "index", F.round("w2v_score", 6).alias("w2v_score")
+    )
 
 
 @query("ml_doc_vectors")
@@ -198,14 +200,21 @@ def _topic_titles(spark, sf_dir) -> DataFrame:
     return written(rows, "topic_titles")
 
 
+def _segment_topics(rows: DataFrame) -> dict[bool, DataFrame]:
+    """Topics of both segments; the two fits are submitted together."""
+    segments = (True, False)
+    with ThreadPoolExecutor(2) as pool:
+        learnt = pool.map(lambda s: topics.learn(rows.where(F.col("seg_a") == s), "tokens"), segments)
+        return dict(zip(segments, learnt))
+
+
 @query("ml_lda_topics")
 def _(spark, sf_dir):
     rows = _topic_titles(spark, sf_dir)
-    parts = [
-        topics.learn(rows.where(F.col("seg_a") == s), "tokens").withColumn("seg_a", F.lit(s))
-        for s in (True, False)
-    ]
-    out = parts[0].unionByName(parts[1])
+    learnt = _segment_topics(rows)
+    out = reduce(
+        DataFrame.unionByName, [t.withColumn("seg_a", F.lit(s)) for s, t in learnt.items()]
+    )
     return out.select("seg_a", "topic", "rank", "term", F.round("weight", 9).alias("weight"))
 
 
@@ -213,11 +222,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Titles against the topics learnt on their own segment."""
     rows = _topic_titles(spark, sf_dir)
-    parts = []
-    for s in (True, False):
-        segment = rows.where(F.col("seg_a") == s)
-        lists = lexicon.topic_lists(topics.learn(segment, "tokens"))
-        parts.append(lexicon.topic_overlap(segment, "tokens", lists))
+    parts = [
+        lexicon.topic_overlap(rows.where(F.col("seg_a") == s), "tokens", lexicon.topic_lists(t))
+        for s, t in _segment_topics(rows).items()
+    ]
     return parts[0].unionByName(parts[1]).select("index", "seg_a", "max_words_topic", "topic_num")
 
 
@@ -451,12 +459,10 @@ def _fold_metrics(scored: DataFrame) -> DataFrame:
 def _(spark, sf_dir):
     """Clarity of fashion titles from the five best word similarities, ten contiguous folds."""
     df = products(spark, sf_dir, False).where(F.col("category_1") == "Fashion")
-    profile = similarity.top5_profile(
-        df,
-        text.fold_tokens(F.col("title")),
-        text.fold_tokens(text.text("description")),
-        word_vectors(spark, sf_dir),
+    pairs = similarity.side_words(
+        df, text.fold_tokens(F.col("title")), text.fold_tokens(text.text("description"))
     )
+    profile = similarity.top5_profile(written(pairs, "side_words"), word_vectors(spark, sf_dir))
     columns = [f"s{i}" for i in range(1, 6)]
     rows = written(profile.join(labels(spark, sf_dir), "index").select("index", "clarity", *columns), "profile")
     rows = evaluate.with_folds(training.assembled(rows, columns, "clarity"), 10, "index")

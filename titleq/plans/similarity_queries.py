@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text, words
 from ..operators import features, lexicon, similarity
 from ..schemas import CLARITY_FEATURES
+from ..session import written
 from . import sql
 from .catalog import products, table, word_vectors
 from .registry import query
@@ -24,9 +25,27 @@ def _description():
     return text.useful_words(text.text("description"))
 
 
-def _long(tokens):
-    """Tokens of at least two characters, the only ones the TF-IDF scores look at."""
-    return F.filter(tokens, lambda t: F.length(t) >= 2)
+def _words(spark, sf_dir) -> DataFrame:
+    return similarity.side_words(products(spark, sf_dir, False), _title(), _description())
+
+
+def _long(words: DataFrame) -> DataFrame:
+    """Words of at least two characters, the only ones the TF-IDF scores look at.
+
+    Shorter words turn into the null word, so that no index is lost.
+    """
+    return words.withColumn("token", F.when(F.length("token") >= 2, F.col("token")))
+
+
+def _texts(spark, sf_dir):
+    """Number of titles and descriptions, as a one-value subquery."""
+    return table(spark, sf_dir, "documents").agg(F.count("*") * 2).scalar()
+
+
+def _every(spark, sf_dir, scores: DataFrame) -> DataFrame:
+    """The scores of all products, null where there is none."""
+    rows = products(spark, sf_dir, False).select("index")
+    return rows.join(scores, "index", "left")
 
 
 # Cosine over (index, token, a, b) rows: weights of title and description words.
@@ -54,9 +73,7 @@ TFIDF = f"""{_PAIRED}, dfs AS (
 
 @query("sim_tfidf_corpus", f"WITH {TFIDF} {_cosine_sql('tf_score')}")
 def _(spark, sf_dir):
-    out = similarity.tfidf_corpus(
-        products(spark, sf_dir, False), _long(_title()), _long(_description())
-    )
+    out = similarity.tfidf_corpus(_long(_words(spark, sf_dir)), _texts(spark, sf_dir))
     return out.select("index", F.round("tf_score", 9).alias("tf_score"))
 
 
@@ -68,9 +85,7 @@ def _(spark, sf_dir):
 {_cosine_sql('tf_pair_score')}""",
 )
 def _(spark, sf_dir):
-    out = similarity.tfidf_pair(
-        products(spark, sf_dir, False), _long(_title()), _long(_description())
-    )
+    out = similarity.tfidf_pair(_long(_words(spark, sf_dir)))
     return out.select("index", F.round("tf_pair_score", 9).alias("tf_pair_score"))
 
 
@@ -87,11 +102,8 @@ PAIR_MEAN = """pair_means AS (
 SELECT p.index, round(w2v_score, 6) AS w2v_score FROM products p LEFT JOIN pair_means m ON m.index = p.index""",
 )
 def _(spark, sf_dir):
-    df = products(spark, sf_dir, False)
-    out = similarity.pair_mean(df, _title(), _description(), word_vectors(spark, sf_dir))
-    return df.select("index").join(out, "index", "left").select(
-        "index", F.round("w2v_score", 6).alias("w2v_score")
-    )
+    out = similarity.pair_mean(_words(spark, sf_dir), word_vectors(spark, sf_dir))
+    return _every(spark, sf_dir, out).select("index", F.round("w2v_score", 6).alias("w2v_score"))
 
 
 MEAN_VECTOR = """cells AS (
@@ -111,11 +123,8 @@ SELECT p.index, round(sp_score, 6) AS sp_score
 FROM products p LEFT JOIN mean_cosines m ON m.index = p.index""",
 )
 def _(spark, sf_dir):
-    df = products(spark, sf_dir, False)
-    out = similarity.mean_vector_cosine(df, _title(), _description(), word_vectors(spark, sf_dir))
-    return df.select("index").join(out, "index", "left").select(
-        "index", F.round("sp_score", 6).alias("sp_score")
-    )
+    out = similarity.mean_vector_cosine(_words(spark, sf_dir), word_vectors(spark, sf_dir))
+    return _every(spark, sf_dir, out).select("index", F.round("sp_score", 6).alias("sp_score"))
 
 
 @query(
@@ -140,7 +149,7 @@ FROM ranked WHERE r <= 5 GROUP BY index""",
 )
 def _(spark, sf_dir):
     out = similarity.top5_profile(
-        products(spark, sf_dir, False), _title(), _description(), word_vectors(spark, sf_dir)
+        written(_words(spark, sf_dir), "side_words"), word_vectors(spark, sf_dir)
     )
     return out.select("index", *[F.round(f"s{i}", 6).alias(f"s{i}") for i in range(1, 6)])
 
@@ -201,10 +210,11 @@ def clarity_frame(spark, sf_dir) -> DataFrame:
         plain.select("index", text.words(F.col("title")).alias("tokens")),
         {"color": color_table(spark), "brand": brands},
     )
+    pairs = written(similarity.side_words(plain, _title(), _description()), "side_words")
     scores = [
-        similarity.pair_mean(plain, _title(), _description(), vectors),
-        similarity.tfidf_corpus(plain, _long(_title()), _long(_description())),
-        similarity.mean_vector_cosine(plain, _title(), _description(), vectors),
+        similarity.pair_mean(pairs, vectors),
+        similarity.tfidf_corpus(_long(pairs), _texts(spark, sf_dir)),
+        similarity.mean_vector_cosine(pairs, vectors),
     ]
     joined = reduce(lambda a, b: a.join(b, "index", "left"), [row, listed, *scores])
     return joined.select(

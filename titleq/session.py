@@ -43,8 +43,12 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{scratch_root(spark)}/titleq-{uuid.uuid4().hex}/{name}"
+    """A path in the shared folder that no other call uses.
+
+    All paths of one application lie in one folder, which may be deleted when its results are kept.
+    """
+    app = spark.sparkContext.applicationId
+    return f"{scratch_root(spark)}/titleq-{app}/{uuid.uuid4().hex}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

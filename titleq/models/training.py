@@ -25,6 +25,17 @@ from ..session import written
 
 FOLDS = 3
 SEED = 42
+ROWS_PER_TASK = 50_000
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A training frame written once, read in no more tasks than its rows are worth.
+
+    Iterative fits start many jobs over the frame, so small frames are read by few tasks; large
+    ones keep all their partitions.
+    """
+    kept = written(df, name)
+    return kept.coalesce(max(1, kept.count() // ROWS_PER_TASK))
 
 
 def assembled(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
@@ -36,7 +47,7 @@ def assembled(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 def concise_frame(products: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled products with the nine features of the conciseness model, stored."""
     rows = features.concise_features(products).drop("title", "description")
-    rows = written(
+    rows = stored(
         rows.join(labels, "index").select("index", "category_1", "concise", *CONCISE_FEATURES),
         "concise_frame",
     )
@@ -95,7 +106,7 @@ def fit_and_score(model, train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def per_category(
-    df: DataFrame, names: Sequence[str], workers: int = 3, category: str = "category_1"
+    df: DataFrame, names: Sequence[str], workers: int = 4, category: str = "category_1"
 ) -> DataFrame:
     """One tuned model per category; the scored test rows of all of them.
 
@@ -107,7 +118,8 @@ def per_category(
     counts = train.groupBy(category).agg(
         F.min("label").alias("low"), F.max("label").alias("high")
     )
-    classes = {r[category]: (r["low"], r["high"]) for r in counts.where(F.col(category).isin(list(names))).collect()}
+    counts = counts.where(F.col(category).isin(list(names)))  # one row per model
+    classes = {r[category]: (r["low"], r["high"]) for r in counts.collect()}
 
     def one(name: str) -> DataFrame:
         here = F.col(category) == name

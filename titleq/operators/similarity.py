@@ -205,8 +205,10 @@ def top5_profile(words: DataFrame, vectors: WordVectors) -> DataFrame:
 
     The words of a text are packed into blocks of at most ``BLOCK`` neighbouring words. Pairs of
     blocks of the same row meet in one task, which keeps five values per title word; word pairs are
-    never rows, and no task holds more than a batch of blocks at a time.
+    never rows, and no task holds more than a batch of blocks at a time. The words, best stored,
+    are shuffled once more by index; their vectors join afterwards and do not travel.
     """
+    words = by_key(words)
     lengths = words.groupBy("index").agg(
         F.sum(F.when(F.col("side") == "t", F.col("n")).otherwise(0)).alias("title_len")
     )

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, features
+from ..operators import evaluate, features, profile
 from . import sql
 from .catalog import labels, products, scored, table
 from .registry import query
-from .relational_queries import zscore
 
 _SHARE = "(('0x' || substr(md5(index::VARCHAR), 1, 8))::BIGINT / 4294967296.0)"
 
@@ -137,7 +136,7 @@ def _(spark, sf_dir):
     )
     distance = sum(F.col(c) * F.col(c) for c in _OUTLIER)
     return outliers(
-        zscore(rows, _OUTLIER).select("index", "seg_a", F.round(distance, 6).alias("distance"))
+        profile.zscore(rows, _OUTLIER).select("index", "seg_a", F.round(distance, 6).alias("distance"))
     )
 
 

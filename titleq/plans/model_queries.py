@@ -50,7 +50,7 @@ def labelled_clarity(spark, sf_dir) -> DataFrame:
     """Labelled products with the clarity features, stored once."""
     rows = clarity_frame(spark, sf_dir).join(labels(spark, sf_dir), "index")
     seg = products(spark, sf_dir, False).select("index", features.in_segment_a().alias("seg_a"))
-    return written(rows.join(seg, "index"), "clarity_frame")
+    return training.stored(rows.join(seg, "index"), "clarity_frame")
 
 
 # ---- transformers -------------------------------------------------------------------------------
@@ -335,7 +335,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Early features, logistic regression tuned on one train/validation split."""
     rows = features.concise_features(products(spark, sf_dir)).join(labels(spark, sf_dir), "index")
-    rows = written(rows.select("index", "concise", *EARLY_FEATURES), "early_frame")
+    rows = training.stored(rows.select("index", "concise", *EARLY_FEATURES), "early_frame")
     rows = training.assembled(rows, EARLY_FEATURES, "concise").select("index", "features", "label")
     lr = LogisticRegression(maxIter=10)
     grid = (
@@ -414,7 +414,7 @@ def _title_vectors(spark, sf_dir) -> DataFrame:
     seg = products(spark, sf_dir, False).select(
         "index", features.in_segment_a().cast("double").alias("label")
     )
-    rows = written(sums.join(seg, "index").select("index", "vec", "label"), "title_vectors")
+    rows = training.stored(sums.join(seg, "index").select("index", "vec", "label"), "title_vectors")
     return rows.select("index", array_to_vector("vec").alias("features"), "label")
 
 
@@ -464,7 +464,7 @@ def _(spark, sf_dir):
     )
     profile = similarity.top5_profile(written(pairs, "side_words"), word_vectors(spark, sf_dir))
     columns = [f"s{i}" for i in range(1, 6)]
-    rows = written(profile.join(labels(spark, sf_dir), "index").select("index", "clarity", *columns), "profile")
+    rows = training.stored(profile.join(labels(spark, sf_dir), "index").select("index", "clarity", *columns), "profile")
     rows = evaluate.with_folds(training.assembled(rows, columns, "clarity"), 10, "index")
     return _fold_metrics(over_folds(rows, LogisticRegression(), 10))
 
@@ -474,7 +474,7 @@ def _(spark, sf_dir):
     """Clarity from title vectors by a support vector machine, five contiguous folds."""
     titles = products(spark, sf_dir, False).select("index", "title")
     sums = similarity.text_vector(titles, text.title_words(F.col("title")), word_vectors(spark, sf_dir))
-    rows = written(sums.join(labels(spark, sf_dir), "index").select("index", "vec", "clarity"), "title_vectors")
+    rows = training.stored(sums.join(labels(spark, sf_dir), "index").select("index", "vec", "clarity"), "title_vectors")
     rows = rows.select(
         "index", array_to_vector("vec").alias("features"), F.col("clarity").cast("double").alias("label")
     )

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import tags, text, words
 from ..functions.stems import snowball, stems
-from ..operators import features, itemsets, layout, lexicon
+from ..operators import features, itemsets, layout, lexicon, profile
 from ..schemas import CLARITY_FEATURES, COUNT_COLUMNS, SCORE_COLUMNS, SEGMENT_A
+from ..session import written
 from . import sql
 from .catalog import labels, products, scored, table
 from .registry import query
@@ -231,7 +232,7 @@ def _(spark, sf_dir):
         [("fashion",), ("watch, sunglass, jewelleri",)], "cat string"
     ).withColumn("cat_new", F.split("cat", ", "))
     # Two literal rows: a broadcast of fixed size.
-    rows = products(spark, sf_dir, False).select(
+    rows = products(spark, sf_dir).select(
         "index", "category_1", stems(text.words(F.col("category_1")), snowball).alias("cat_1_stem")
     )
     found = rows.join(F.broadcast(literal), F.col("cat_1_stem") == F.col("cat_new"))
@@ -246,6 +247,8 @@ SELECT index, category_2, category_3 FROM products SEMI JOIN g USING (category_2
 def _(spark, sf_dir):
     df = products(spark, sf_dir, False).select("index", "category_2", "category_3")
     main = df.groupBy("category_2", "category_3").count().where("count > 5")
+    # Stored, the groups have a known size: the planner broadcasts them only if they are small.
+    main = written(main, "main_groups")
     return df.join(main, ["category_2", "category_3"], "left_semi").select(
         "index", "category_2", "category_3"
     )
@@ -306,10 +309,7 @@ _COLUMNS = ("category_1", "category_2", "category_3", "concise")
 def _value_counts(spark, sf_dir):
     """(name, value, n) for several columns from one pass over the rows."""
     df = products(spark, sf_dir, False).join(labels(spark, sf_dir), "index", "left")
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in _COLUMNS]
-    )
-    return df.select(F.inline(pairs)).groupBy("name", "value").agg(F.count("*").alias("n"))
+    return profile.value_counts(df, _COLUMNS)
 
 
 _COUNTED = f"""WITH {sql.PRODUCTS}, {sql.LABELS}, j AS (SELECT * FROM products LEFT JOIN lab USING (index)),
@@ -373,11 +373,8 @@ def _(spark, sf_dir):
 UNION ALL SELECT 'clarity', clarity, count(*) FROM lab GROUP BY clarity""",
 )
 def _(spark, sf_dir):
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("name"), F.col(c).alias("label")) for c in ("concise", "clarity")]
-    )
-    rows = labels(spark, sf_dir).select(F.inline(pairs))
-    return rows.groupBy("name", "label").agg(F.count("*").alias("n"))
+    counts = profile.value_counts(labels(spark, sf_dir), ("concise", "clarity"))
+    return counts.select("name", F.col("value").cast("int").alias("label"), "n")
 
 
 @query(
@@ -391,14 +388,12 @@ SELECT count(*) AS n, count(title) AS title, count(description) AS description,
 )
 def _(spark, sf_dir):
     size = F.when(F.col("description").isNull(), F.lit(float("nan"))).otherwise(F.col("n_chars"))
-    df = (
-        products(spark, sf_dir, False)
-        .withColumn("size", size.cast("double"))
-        .join(labels(spark, sf_dir), "index", "left")
-    )
-    present = {c: F.col(c).isNotNull() for c in ("title", "description", "category_1", "concise", "clarity")}
-    present["size"] = F.col("size").isNotNull() & ~F.isnan("size")
-    return df.agg(F.count("*").alias("n"), *[F.count_if(p).alias(c) for c, p in present.items()])
+    rows = products(spark, sf_dir, False).withColumn("size", size.cast("double"))
+    # Texts shrink to flags before the join.
+    flags = profile.present(rows, ["title", "description", "category_1", "size"], ["index"])
+    given = profile.present(labels(spark, sf_dir), ["concise", "clarity"], ["index"])
+    joined = flags.join(given, "index", "left").drop("index")
+    return joined.agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in joined.columns])
 
 
 @query(
@@ -430,17 +425,8 @@ def _(spark, sf_dir):
         "title_length": F.length("title"),
         "description_length": F.length("description"),
     }
-    pairs = F.array(
-        *[F.struct(F.lit(n).alias("name"), c.cast("double").alias("x")) for n, c in named.items()]
-    )
-    rows = products(spark, sf_dir, False).select(F.inline(pairs))
-    return rows.groupBy("name").agg(
-        F.count("x").alias("count"),
-        F.round(F.avg("x"), 6).alias("mean"),
-        F.round(F.stddev_samp("x"), 6).alias("stddev"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-    )
+    out = profile.describe(products(spark, sf_dir, False), named)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "stddev")})
 
 
 @query(
@@ -467,23 +453,7 @@ SELECT index, {", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in _Z)}
 )
 def _(spark, sf_dir):
     rows = features.concise_features(products(spark, sf_dir)).select("index", *_Z)
-    return zscore(rows, _Z).select("index", *[F.round(c, 6).alias(c) for c in _Z])
-
-
-def zscore(df, columns):
-    """Columns centred and divided by their sample deviation; the one-row statistics are a scalar."""
-    stats = df.agg(
-        F.struct(
-            *[F.avg(c).alias(f"m_{c}") for c in columns],
-            *[F.stddev_samp(c).alias(f"s_{c}") for c in columns],
-        ).alias("stats")
-    ).scalar()
-    out = df.withColumn("_stats", stats)
-    for c in columns:
-        out = out.withColumn(
-            c, F.try_divide(F.col(c) - F.col(f"_stats.m_{c}"), F.col(f"_stats.s_{c}"))
-        )
-    return out.drop("_stats")
+    return profile.zscore(rows, _Z).select("index", *[F.round(c, 6).alias(c) for c in _Z])
 
 
 # ---- sorts and sets -----------------------------------------------------------------------------

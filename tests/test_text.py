@@ -74,6 +74,21 @@ def test_html(spark, markup, plain):
     assert one(spark, markup, html.html_to_text) == plain
 
 
+def test_escapes(spark):
+    for value in ("\\u00e9t\\xe9 \\n x", "a\\\\n", "\\101\\q", "plain", "\\U0001F600"):
+        assert one(spark, value, html.decode_escapes) == value.encode().decode("unicode_escape")
+    assert one(spark, "tail\\", html.decode_escapes) == "tail\\"
+
+
+def test_clean_text(spark):
+    from titleq.plans.text_queries import clean_text
+
+    assert one(spark, "<p>The running&amp;shoes</p> R&amp;D", clean_text) == "run shoe r d"
+    assert one(spark, "R&amp;D rings", clean_text) == "r amp d ring"
+    assert one(spark, None, clean_text) == ""
+    assert one(spark, "\\nred\\tlamps", lambda c: clean_text(c, escaped=True)) == "red lamp"
+
+
 def test_tags(spark):
     got = one(spark, "Two red rings & 5 lovely, useful items", tags.tagged)
     assert [(r.tag, r.text) for r in got] == [

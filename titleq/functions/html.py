@@ -44,3 +44,31 @@ def decode_entities(c: Column) -> Column:
 
 def html_to_text(c: Column) -> Column:
     return decode_entities(strip_tags(c))
+
+
+def plain_if_marked(c: Column) -> Column:
+    """Text of a value that holds a tag; other values stay as they are, references included."""
+    return F.when(c.rlike("<[a-zA-Z!/]"), html_to_text(c)).otherwise(c)
+
+
+_ESCAPE = r"(?s)(\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{1,3}|.)|[^\\]+|\\$)"
+# Letters after a backslash and the code points they stand for (fixed values).
+_ESCAPE_CODES = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13}
+
+
+def decode_escapes(c: Column) -> Column:
+    """Backslash escapes replaced in one pass; unknown escapes stay."""
+    letters = F.create_map(*[F.lit(x) for a, n in _ESCAPE_CODES.items() for x in (a, chr(n))])
+
+    def piece(p: Column) -> Column:
+        body = F.substring(p, 2, 9)
+        return (
+            F.when(~p.startswith("\\"), p)
+            .when(body.rlike("^[xuU][0-9a-fA-F]{2,8}$"),
+                  _character(F.conv(F.substring(p, 3, 8), 16, 10).cast("long")))
+            .when(body.rlike("^[0-7]{1,3}$"), _character(F.conv(body, 8, 10).cast("long")))
+            .when(body.isin("\\", "'", '"'), body)
+            .otherwise(F.coalesce(F.try_element_at(letters, body), p))
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_ESCAPE), F.lit(1)), piece), "")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..session import written
 
 HOT_PARTS = 1000
+MAX_BUCKETS = 20_000
 BROADCAST_BYTES = 64 << 20
 
 
@@ -32,6 +33,15 @@ def by_key(df: DataFrame, key: str = "index") -> DataFrame:
     return df.repartition(shuffle_width(df), key)
 
 
+def hot_parts(df: DataFrame, row_bytes: int) -> int:
+    """Into how many parts rows are thought to be cut when a key is called hot.
+
+    Several times the number of shuffle partitions, so that a key that is not hot fits a task, but
+    never so many that the hot rows of a table would exceed the broadcast limit.
+    """
+    return max(1, min(max(HOT_PARTS, 4 * shuffle_width(df)), BROADCAST_BYTES // row_bytes))
+
+
 def hot_keys(freq: DataFrame, key: str, parts: int = HOT_PARTS) -> DataFrame:
     """Keys that hold more than one ``parts``-th of all rows, from a (key, n) table.
 
@@ -48,7 +58,8 @@ def split_lookup(
     freq: DataFrame | None = None,
     keep: bool = False,
     stored: bool = False,
-    parts: int = HOT_PARTS,
+    row_bytes: int = 200,
+    parts: int | None = None,
 ) -> DataFrame:
     """Attach the columns of ``table`` (unique ``key``) to ``rows``, whatever the skew.
 
@@ -56,7 +67,9 @@ def split_lookup(
     move. The others are joined by an ordinary shuffle in which no key holds more than one
     ``parts``-th of the rows. ``keep`` keeps rows without a match, null keys included. The rows are
     read by each of these branches and stored first unless they are ``stored`` already.
+    ``row_bytes`` bounds the size of a table row.
     """
+    parts = parts or hot_parts(rows, row_bytes)
     if not stored:
         rows = written(rows, "lookup_rows")
     if freq is None:
@@ -80,7 +93,7 @@ def lookup(
     """Inner join with a stored table of known size: broadcast if it is small, else split."""
     if table_rows * row_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table), key)
-    return split_lookup(rows, table, key)
+    return split_lookup(rows, table, key, row_bytes=row_bytes)
 
 
 def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
@@ -89,15 +102,15 @@ def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     Only the bucket edges come to the driver. They are plain numbers in the plan, so every
     recomputation of a lost task puts a row into the same bucket.
     """
-    buckets = buckets or min(4 * shuffle_width(df), 4096)
+    buckets = buckets or min(4 * shuffle_width(df), MAX_BUCKETS)
     marks = df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.25 / buckets)
     edges = [float("-inf"), *sorted(set(marks)), float("inf")]
     if len(edges) < 3:
-        return df.withColumn("_bucket", F.lit(0.0))
+        return df.withColumn("_bucket", F.lit(0))
     # Bucketizer reads doubles; long keys keep their order, and equal doubles share a bucket.
     probe = df.withColumn("_probe", F.col(key).cast("double"))
-    cut = Bucketizer(splits=edges, inputCol="_probe", outputCol="_bucket")
-    return cut.transform(probe).drop("_probe")
+    cut = Bucketizer(splits=edges, inputCol="_probe", outputCol="_bucket").transform(probe)
+    return cut.withColumn("_bucket", F.col("_bucket").cast("int")).drop("_probe")
 
 
 def running_total(

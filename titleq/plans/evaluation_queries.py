@@ -31,9 +31,9 @@ FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, (SELECT count
   FROM labels)"""
 
 
-for _k in (5, 10):
+for _name, _k in (("eval_kfold", 10), ("eval_kfold_5", 5)):
 
-    @query(f"eval_kfold_{_k}", _folds_sql(_k))
+    @query(_name, _folds_sql(_k))
     def _(spark, sf_dir, k=_k):
         rows = table(spark, sf_dir, "labels").select("doc_id")
         return evaluate.with_folds(rows, k, "doc_id").select("doc_id", "fold")

@@ -32,7 +32,14 @@ from ..functions import text, words
 from ..functions.stems import snowball, stems
 from ..models import topics, training
 from ..operators import evaluate, features, layout, lexicon, similarity
-from ..schemas import CATEGORIES, CLARITY_FEATURES, CONCISE_FEATURES, EARLY_FEATURES
+from ..schemas import (
+    CATEGORIES,
+    CLARITY_FEATURES,
+    CONCISE_FEATURES,
+    COUNT_COLUMNS,
+    EARLY_FEATURES,
+    SCORE_COLUMNS,
+)
 from ..session import written
 from . import sql
 from .catalog import labels, products, word_vectors
@@ -375,16 +382,30 @@ def _(spark, sf_dir):
     rows = training.assembled(rows, columns, "clarity").select("index", "seg_a", "features", "label")
     train, test = evaluate.split(rows, 0.8)
     gbt = GBTClassifier(maxDepth=7, stepSize=0.5, maxIter=20, seed=SEED)
+    return evaluate.threshold_sweep(_by_segment(gbt, train, test), ["seg_a"], score="p1")
+
+
+def _by_segment(estimator, train: DataFrame, test: DataFrame) -> DataFrame:
+    """Scored test rows of one model per segment; the two fits are submitted together."""
 
     def one(segment: bool) -> DataFrame:
         here = F.col("seg_a") == segment
         return training.predictions(
-            gbt.fit(train.where(here)).transform(test.where(here)), "seg_a"
+            estimator.fit(train.where(here)).transform(test.where(here)), "seg_a"
         )
 
     with ThreadPoolExecutor(2) as pool:
-        parts = list(pool.map(one, (True, False)))
-    return evaluate.threshold_sweep(parts[0].unionByName(parts[1]), ["seg_a"], score="p1")
+        return reduce(DataFrame.unionByName, pool.map(one, (True, False)))
+
+
+@query("ml_logreg_segments")
+def _(spark, sf_dir):
+    """Logistic regression per segment on the clarity features, with the threshold sweep."""
+    columns = [c for c in CLARITY_FEATURES if c != "w2v_score"]
+    rows = training.assembled(labelled_clarity(spark, sf_dir), columns, "clarity")
+    train, test = evaluate.split(rows.select("index", "seg_a", "features", "label"), 0.8)
+    scored = _by_segment(LogisticRegression(), train, test)
+    return evaluate.threshold_sweep(scored, ["seg_a"], score="p1")
 
 
 @query("ml_random_forest")
@@ -418,15 +439,16 @@ def _title_vectors(spark, sf_dir) -> DataFrame:
     return rows.select("index", array_to_vector("vec").alias("features"), "label")
 
 
-def over_folds(rows: DataFrame, estimator, k: int, workers: int = 3) -> DataFrame:
+def over_folds(
+    rows: DataFrame, estimator, workers: int = 3, prepare=lambda train: train
+) -> DataFrame:
     """Scored rows of a k-fold run; ``rows`` carries ``fold``. Fits are submitted by few threads.
 
-    A fold whose training rows have one class only predicts that class.
+    ``prepare`` changes the training rows. A fold whose training rows have one class only predicts
+    that class.
     """
-    ends = {
-        r["fold"]: (r["low"], r["high"])
-        for r in rows.groupBy("fold").agg(F.min("label").alias("low"), F.max("label").alias("high")).collect()
-    }
+    classes = rows.groupBy("fold").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    ends = {r["fold"]: (r["low"], r["high"]) for r in classes.collect()}  # k rows
 
     def one(f: int) -> DataFrame:
         test = rows.where(F.col("fold") == f)
@@ -435,7 +457,7 @@ def over_folds(rows: DataFrame, estimator, k: int, workers: int = 3) -> DataFram
         if low == high:
             scored = test.withColumn("prediction", F.lit(low))
         else:
-            scored = estimator.fit(rows.where(F.col("fold") != f)).transform(test)
+            scored = estimator.fit(prepare(rows.where(F.col("fold") != f))).transform(test)
         return scored.select("index", "fold", "label", "prediction")
 
     with ThreadPoolExecutor(workers) as pool:
@@ -466,7 +488,7 @@ def _(spark, sf_dir):
     columns = [f"s{i}" for i in range(1, 6)]
     rows = training.stored(profile.join(labels(spark, sf_dir), "index").select("index", "clarity", *columns), "profile")
     rows = evaluate.with_folds(training.assembled(rows, columns, "clarity"), 10, "index")
-    return _fold_metrics(over_folds(rows, LogisticRegression(), 10))
+    return _fold_metrics(over_folds(rows, LogisticRegression()))
 
 
 @query("ml_svc_kfold")
@@ -479,4 +501,16 @@ def _(spark, sf_dir):
         "index", array_to_vector("vec").alias("features"), F.col("clarity").cast("double").alias("label")
     )
     rows = evaluate.with_folds(rows, 5, "index")
-    return _fold_metrics(over_folds(rows, LinearSVC(maxIter=50), 5))
+    return _fold_metrics(over_folds(rows, LinearSVC(maxIter=50)))
+
+
+@query("ml_svc_oversampled")
+def _(spark, sf_dir):
+    """Clarity of the rest segment by a support vector machine, unclear rows ten times in training."""
+    columns = [c for c in CLARITY_FEATURES if c not in COUNT_COLUMNS + SCORE_COLUMNS]
+    rows = labelled_clarity(spark, sf_dir).where(~F.col("seg_a"))
+    rows = training.assembled(rows, columns, "clarity").select("index", "features", "label")
+    rows = evaluate.with_folds(rows, 5, "index")
+    svc = LinearSVC(maxIter=50)
+    scored = over_folds(rows, svc, prepare=lambda train: evaluate.oversample(train, "label"))
+    return _fold_metrics(scored)

@@ -196,29 +196,167 @@ def _porter_sql(source: str) -> str:
     return ", ".join(parts)
 
 
+def _snowball_sql(source: str) -> str:
+    """CTE ``snow(token, stem)`` from ``source``, a table of distinct lower-case tokens."""
+    region = "^[^aeiouy]*[aeiouy]+[^aeiouy]"
+    short = "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+
+    def has(x, p):
+        return f"regexp_matches({x}, '{p}')"
+
+    def before(n):
+        return f"left(w, length(w) - {n})"
+
+    def in_r1(n):
+        return f"length(w) - {n} >= r1"
+
+    def in_r2(n):
+        return f"length(w) - {n} >= r2"
+
+    def rules(table, guard):
+        arms = []
+        for end in sorted(table, key=len, reverse=True):
+            arms.append(
+                f"WHEN ends_with(w, '{end}') THEN CASE WHEN {guard(end)} "
+                f"THEN {before(len(end))} || '{table[end]}' ELSE w END"
+            )
+        return "CASE " + " ".join(arms) + " ELSE w END"
+
+    def second(end):
+        more = {"ogi": f" AND {has(before(3), 'l$')}", "li": f" AND {has(before(2), '[cdeghkmnrt]$')}"}
+        return in_r1(len(end)) + more.get(end, "")
+
+    def last(end):
+        if end == "l":
+            return f"{in_r2(1)} AND {has(before(1), 'l$')}"
+        return f"({in_r2(1)} OR ({in_r1(1)} AND NOT {has(before(1), short)}))"
+
+    past = "CASE "
+    for end in ("eedly", "ingly", "edly", "eed", "ing", "ed"):
+        n = len(end)
+        if end.startswith("eed"):
+            done = f"CASE WHEN {in_r1(n)} THEN {before(n)} || 'ee' ELSE w END"
+        else:
+            done = f"CASE WHEN {has(before(n), '[aeiouy]')} THEN {before(n)} || '#' ELSE w END"
+        past += f"WHEN ends_with(w, '{end}') THEN {done} "
+    past += "ELSE w END"
+    bare = before(1)
+    steps = [
+        "CASE WHEN ends_with(w, 'sses') THEN left(w, length(w) - 2) "
+        "WHEN ends_with(w, 'ied') OR ends_with(w, 'ies') "
+        "THEN left(w, length(w) - 3) || CASE WHEN length(w) > 4 THEN 'i' ELSE 'ie' END "
+        "WHEN ends_with(w, 'us') OR ends_with(w, 'ss') THEN w "
+        f"WHEN ends_with(w, 's') AND {has(bare, '[aeiouy].+$')} THEN {bare} ELSE w END",
+        past,
+        "CASE WHEN NOT ends_with(w, '#') THEN w "
+        f"WHEN {has(bare, '(at|bl|iz)$')} THEN {bare} || 'e' "
+        f"WHEN {has(bare, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$')} THEN left(w, length(w) - 2) "
+        f"WHEN r1 >= length(w) - 1 AND {has(bare, short)} THEN {bare} || 'e' ELSE {bare} END",
+        "regexp_replace(w, '^(.+[^aeiouy])[yY]$', '\\1i')",
+        rules(stems.SNOWBALL_2, second),
+        rules(
+            stems.SNOWBALL_3,
+            lambda e: in_r1(len(e)) + (f" AND {in_r2(len(e))}" if e == "ative" else ""),
+        ),
+        rules(
+            dict.fromkeys(stems.SNOWBALL_4, ""),
+            lambda e: in_r2(len(e)) + (f" AND {has(before(3), '[st]$')}" if e == "ion" else ""),
+        ),
+        rules({"e": "", "l": ""}, last),
+        "lower(w)",
+    ]
+    parts = [
+        f"p0 AS (SELECT token, regexp_replace(regexp_replace(token, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g')"
+        f" AS w FROM {source})",
+        f"p1 AS (SELECT *, CASE WHEN {has('w', '^(gener|commun|arsen)')} "
+        "THEN length(regexp_extract(w, '^(gener|commun|arsen)')) "
+        f"WHEN {has('w', region)} THEN length(regexp_extract(w, '{region}')) ELSE length(w) END AS r1 FROM p0)",
+        "p2 AS (SELECT *, r1 + CASE "
+        f"WHEN {has('substr(w, r1 + 1)', region)} THEN length(regexp_extract(substr(w, r1 + 1), '{region}')) "
+        "ELSE length(w) - r1 END AS r2 FROM p1)",
+    ]
+    prior = "p2"
+    for i, step in enumerate(steps):
+        kept = f"CASE WHEN kept IS NOT NULL THEN w ELSE {step} END" if i else step
+        extra = "" if i else ", NULL AS kept"
+        parts.append(f"q{i} AS (SELECT token, r1, r2, {kept} AS w{', kept' if i else extra} FROM {prior})")
+        prior = f"q{i}"
+        if i == 0:
+            parts.append(
+                f"qk AS (SELECT token, r1, r2, w, CASE WHEN w IN ({sql.quoted(stems.SNOWBALL_KEPT)}) "
+                "THEN w END AS kept FROM q0)"
+            )
+            prior = "qk"
+    special = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in stems.SNOWBALL_WORDS.items())
+    parts.append(
+        "snow AS MATERIALIZED (SELECT token, CASE WHEN length(token) <= 2 THEN token "
+        f"ELSE CASE token {special} ELSE w END END AS stem FROM {prior})"
+    )
+    return ", ".join(parts)
+
+
+# Stemmed word lists as (index, title_words, desc_words, cat_words).
+_CATS = "list_concat(" + ", ".join(sql.words(f"category_{i}") for i in (1, 2, 3)) + ")"
+_STEMMED = f"""{sql.TOKENS}, lists AS (
+  SELECT index, 't' AS side, nsw AS l FROM toks UNION ALL SELECT index, 'd', nd FROM toks
+  UNION ALL SELECT index, 'c', {_CATS} FROM toks),
+  pos AS (SELECT index, side, unnest(l) AS token, generate_subscripts(l, 1) AS p FROM lists),
+  dist AS (SELECT DISTINCT token FROM pos), {_snowball_sql("dist")},
+  first AS (SELECT index, side, token, stem, min(p) AS p FROM pos JOIN snow USING (token) GROUP BY ALL)"""
+
+
+def _plain_sql(c: str) -> str:
+    """Text of a value that holds a tag, as in txt_html_to_text."""
+    bare = (
+        f"regexp_replace(regexp_replace(regexp_replace({c}, '<!--.*?-->', '', 'gs'), "
+        "'<script[^>]*>.*?</script\\s*>|<style[^>]*>.*?</style\\s*>', '', 'gsi'), '<[^>]*>', '', 'gs')"
+    )
+    for name, sign in (("copy", "chr(169)"), ("middot", "chr(183)"), ("quot", "chr(34)"), ("amp", "'&'")):
+        bare = f"replace({bare}, '&{name};', {sign})"
+    return f"CASE WHEN regexp_matches({c}, '<[a-zA-Z!/]') THEN {bare} ELSE {c} END"
+
+
+def _clean_tokens_sql(c: str) -> str:
+    letters = f"lower(regexp_replace({_plain_sql(c)}, '[^a-zA-Z0-9]', ' ', 'g'))"
+    return sql.nonstop(f"list_filter(string_split({letters}, ' '), lambda x: x <> '')")
+
+
 _CLEAN_TOKENS = f"""{sql.PRODUCTS}, clean AS (
-  SELECT index, {sql.nonstop(
-    "list_filter(string_split(lower(regexp_replace(title, '[^a-zA-Z0-9]', ' ', 'g')), ' '), "
-    "lambda x: x <> '')")} AS tokens FROM products),
-  pos AS (SELECT index, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS p FROM clean),
+  SELECT index, 't' AS side, {_clean_tokens_sql("title")} AS tokens FROM products
+  UNION ALL SELECT index, 'd', {_clean_tokens_sql("coalesce(description, ' ')")} FROM products),
+  pos AS (SELECT index, side, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS p FROM clean),
   dist AS (SELECT DISTINCT token FROM pos), {_porter_sql("dist")}"""
 
 
 @query(
     "txt_clean_text",
     f"""WITH {_CLEAN_TOKENS},
-  texts AS (SELECT index, string_agg(stem, ' ' ORDER BY p) AS t FROM pos JOIN stemmed USING (token)
-    GROUP BY index)
-SELECT index, coalesce(t, '') AS clean_title FROM products LEFT JOIN texts USING (index)""",
+  texts AS (SELECT index, string_agg(stem, ' ' ORDER BY p) FILTER (side = 't') AS t,
+    string_agg(stem, ' ' ORDER BY p) FILTER (side = 'd') AS d
+  FROM pos JOIN stemmed USING (token) GROUP BY index)
+SELECT index, coalesce(t, '') AS clean_title, coalesce(d, '') AS clean_sd
+FROM products LEFT JOIN texts USING (index)""",
 )
 def _(spark, sf_dir):
-    plain = html.html_to_text(F.coalesce("title", F.lit(" ")))
     return products(spark, sf_dir).select(
         "index",
-        F.array_join(stems.stems(text.clean_words(plain), stems.porter), " ").alias("clean_title"),
+        clean_text(F.col("title")).alias("clean_title"),
+        clean_text(F.col("description"), escaped=True).alias("clean_sd"),
     )
 
 
+def clean_text(c, escaped: bool = False):
+    """Markup off, letters and digits only, lower case, no stop words, Porter stems, joined.
+
+    ``escaped`` texts that start with a backslash have their backslash escapes decoded first.
+    """
+    c = F.coalesce(c, F.lit(" "))
+    if escaped:
+        c = F.when(c.startswith("\\"), html.decode_escapes(c)).otherwise(c)
+    tokens = text.clean_words(html.plain_if_marked(c))
+    return F.array_join(stems.stems(tokens, stems.porter), " ")
+
+
 @query(
     "txt_stem_dictionary",
     f"""WITH {sql.PRODUCTS}, toks AS (SELECT unnest({sql.words("title")}) AS token FROM products
@@ -233,7 +371,17 @@ def _(spark, sf_dir):
     return dictionary.withColumn("stem", stems.porter(F.col("token")))
 
 
-@query("txt_snowball_stems")
+@query(
+    "txt_snowball_stems",
+    f"""WITH {_STEMMED}, texts AS (
+  SELECT index, string_agg(stem, ' ' ORDER BY p) FILTER (side = 't') AS t,
+    string_agg(stem, ' ' ORDER BY p) FILTER (side = 'd') AS d
+  FROM pos JOIN snow USING (token) GROUP BY index),
+  cats AS (SELECT index, string_agg(stem, ' ' ORDER BY p) AS c FROM first WHERE side = 'c' GROUP BY index)
+SELECT toks.index, coalesce(t, '') AS title_words, coalesce(d, '') AS desc_words,
+  coalesce(c, '') AS cat_words
+FROM toks LEFT JOIN texts USING (index) LEFT JOIN cats USING (index)""",
+)
 def _(spark, sf_dir):
     lists = features.word_lists(products(spark, sf_dir), stemmed=True)
     return lists.select(
@@ -320,13 +468,21 @@ def _(spark, sf_dir):
     return lists.select("index", same.cast("long").alias("title_cat_same"))
 
 
-@query("feat_stem_overlap")
+@query(
+    "feat_stem_overlap",
+    f"""WITH {_STEMMED}, u AS (SELECT DISTINCT index, side, stem FROM first),
+  o AS (SELECT a.index, count(*) FILTER (b.side = 'd') AS d, count(*) FILTER (b.side = 'c') AS c
+    FROM u a JOIN u b ON a.index = b.index AND a.stem = b.stem AND a.side = 't' AND b.side <> 't'
+    GROUP BY a.index)
+SELECT toks.index, coalesce(d, 0) AS title_des_dup, coalesce(c, 0) AS title_cat_same
+FROM toks LEFT JOIN o USING (index)""",
+)
 def _(spark, sf_dir):
     lists = features.word_lists(products(spark, sf_dir), stemmed=True)
+    des = features.overlap(F.col("title_words"), F.col("desc_words"))
+    cat = features.overlap(F.col("title_words"), F.col("cat_words"))
     return lists.select(
-        "index",
-        features.overlap(F.col("title_words"), F.col("desc_words")).alias("title_des_dup"),
-        features.overlap(F.col("title_words"), F.col("cat_words")).alias("title_cat_same"),
+        "index", des.cast("long").alias("title_des_dup"), cat.cast("long").alias("title_cat_same")
     )
 
 

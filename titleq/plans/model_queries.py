@@ -439,6 +439,12 @@ def _title_vectors(spark, sf_dir) -> DataFrame:
     return rows.select("index", array_to_vector("vec").alias("features"), "label")
 
 
+def folded(rows: DataFrame, k: int) -> DataFrame:
+    """Rows with contiguous folds, stored because every fit reads them again."""
+    rows = evaluate.with_folds(rows.select("index", "features", "label"), k, "index")
+    return training.stored(rows, "folds")
+
+
 def over_folds(
     rows: DataFrame, estimator, workers: int = 3, prepare=lambda train: train
 ) -> DataFrame:
@@ -486,8 +492,8 @@ def _(spark, sf_dir):
     )
     profile = similarity.top5_profile(written(pairs, "side_words"), word_vectors(spark, sf_dir))
     columns = [f"s{i}" for i in range(1, 6)]
-    rows = training.stored(profile.join(labels(spark, sf_dir), "index").select("index", "clarity", *columns), "profile")
-    rows = evaluate.with_folds(training.assembled(rows, columns, "clarity"), 10, "index")
+    rows = written(profile.join(labels(spark, sf_dir), "index").select("index", "clarity", *columns), "profile")
+    rows = folded(training.assembled(rows, columns, "clarity"), 10)
     return _fold_metrics(over_folds(rows, LogisticRegression()))
 
 
@@ -496,12 +502,11 @@ def _(spark, sf_dir):
     """Clarity from title vectors by a support vector machine, five contiguous folds."""
     titles = products(spark, sf_dir, False).select("index", "title")
     sums = similarity.text_vector(titles, text.title_words(F.col("title")), word_vectors(spark, sf_dir))
-    rows = training.stored(sums.join(labels(spark, sf_dir), "index").select("index", "vec", "clarity"), "title_vectors")
+    rows = written(sums.join(labels(spark, sf_dir), "index").select("index", "vec", "clarity"), "title_vectors")
     rows = rows.select(
         "index", array_to_vector("vec").alias("features"), F.col("clarity").cast("double").alias("label")
     )
-    rows = evaluate.with_folds(rows, 5, "index")
-    return _fold_metrics(over_folds(rows, LinearSVC(maxIter=50)))
+    return _fold_metrics(over_folds(folded(rows, 5), LinearSVC(maxIter=50)))
 
 
 @query("ml_svc_oversampled")
@@ -510,7 +515,6 @@ def _(spark, sf_dir):
     columns = [c for c in CLARITY_FEATURES if c not in COUNT_COLUMNS + SCORE_COLUMNS]
     rows = labelled_clarity(spark, sf_dir).where(~F.col("seg_a"))
     rows = training.assembled(rows, columns, "clarity").select("index", "features", "label")
-    rows = evaluate.with_folds(rows, 5, "index")
     svc = LinearSVC(maxIter=50)
-    scored = over_folds(rows, svc, prepare=lambda train: evaluate.oversample(train, "label"))
+    scored = over_folds(folded(rows, 5), svc, prepare=lambda train: evaluate.oversample(train, "label"))
     return _fold_metrics(scored)

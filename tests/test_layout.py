@@ -95,6 +95,21 @@ def test_lines_keep_their_numbers_across_files_and_splits(spark, tmp_path):
     assert numbers == list(range(1, len(want) + 1))
 
 
+def test_csv_rows_keep_their_numbers(spark, tmp_path):
+    for f in range(2):
+        text = "".join(f'{f},"row ""{i}"""\n' for i in range(300))
+        (tmp_path / f"part-{f}.csv").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        rows = readers.numbered(readers.read_csv(spark, str(tmp_path), "f int, t string"))
+        got = [(r["index"], r.f, r.t) for r in rows.orderBy("index").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(300 * f + i + 1, f, f'row "{i}"') for f in range(2) for i in range(300)]
+
+
 def test_lexicon_reads_latin1_and_either_line_end(spark, tmp_path):
     path = tmp_path / "brands.txt"
     path.write_bytes("acm\xe9\r\n bolt \r\nbolt\n\r\n\"q\"\n".encode("latin-1"))

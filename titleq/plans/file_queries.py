@@ -6,7 +6,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..functions import tags, text
+from ..functions import html, tags, text
 from ..models import training
 from ..operators import features
 from ..schemas import (
@@ -20,7 +20,7 @@ from ..sources import readers, writers
 from . import sql
 from .catalog import labels, products, table, word_vectors
 from .registry import query
-from .text_queries import TAGGED, _brands
+from .text_queries import TAGGED, _plain_sql
 
 
 def _one_line_sql(c: str) -> str:
@@ -254,6 +254,42 @@ def _(spark, sf_dir):
     return rows.groupBy("segment").agg(F.count("*").alias("n"))
 
 
+@query(
+    "prep_catalogue",
+    f"""WITH {sql.PRODUCTS}, {sql.LABELS}, j AS (
+  SELECT row_number() OVER (ORDER BY index) AS index, title, description, category_1, category_2,
+    category_3, concise, clarity FROM products JOIN lab USING (index))
+SELECT index, nullif({_one_line_sql("title")}, '') AS title, category_1, category_2, category_3,
+  nullif({_plain_sql(_one_line_sql("description"))}, '') AS description, concise, clarity FROM j""",
+)
+def _(spark, sf_dir):
+    """Raw headerless products and two keyless label files to the clean frame.
+
+    Rows of the three files belong together by their position.
+    """
+    given = labels(spark, sf_dir)
+    raw = _raw_products(spark, sf_dir).withColumn(
+        "index", F.substring("sku_id", 4, 20).cast("long")
+    ).join(given, "index")
+    raw = raw.repartitionByRange("index").sortWithinPartitions("index")
+    files = {n: scratch_path(spark, n) for n in ("raw.csv", "concise", "clarity", "clean.csv")}
+    columns = [c.split()[0] for c in RAW_PRODUCT.split(", ")]
+    writers.write_csv(raw.select(*columns), files["raw.csv"], header=False)
+    for name in ("concise", "clarity"):
+        writers.write_lines(given, F.col(name).cast("string"), "index", files[name])
+
+    rows = readers.numbered(readers.read_csv(spark, files["raw.csv"], RAW_PRODUCT))
+    label = readers.read_label_file(spark, files["concise"], "concise").join(
+        readers.read_label_file(spark, files["clarity"], "clarity"), "index"
+    )
+    clean = rows.withColumn("description", html.plain_if_marked(F.col("description")))
+    clean = clean.join(label, "index").select(
+        "index", "title", "category_1", "category_2", "category_3", "description", "concise", "clarity"
+    )
+    writers.write_csv(clean, files["clean.csv"], header=True, sort="index")
+    return readers.read_csv(spark, files["clean.csv"], CLEAN_PRODUCT, header=True)
+
+
 # ---- sinks --------------------------------------------------------------------------------------
 
 

@@ -279,6 +279,18 @@ def _(spark, sf_dir):
     )
 
 
+@query("ml_shared_errors")
+def _(spark, sf_dir):
+    """Wordy rows that a linear model and a tree both take for concise."""
+    rows = concise_frame(spark, sf_dir)
+    train, _ = evaluate.split(rows)
+    wrong = []
+    for model in (LogisticRegression(maxIter=10), DecisionTreeClassifier(seed=SEED)):
+        scored = training.fit_and_score(model, train, rows)
+        wrong.append(scored.filter("label == 0").filter("prediction == 1").select("index"))
+    return wrong[0].join(wrong[1], "index", "inner")
+
+
 @query("ml_gbt_total")
 def _(spark, sf_dir):
     train, test = evaluate.split(training.with_fold(concise_frame(spark, sf_dir)))

@@ -44,20 +44,20 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.trim("token").alias("token")).where("token <> ''").distinct()
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(index, value): the lines of a file or folder, numbered from 1 in file and line order.
+def numbered(scan: DataFrame) -> DataFrame:
+    """The rows of a file scan with ``index``, counted from 1 in file and line order.
 
-    The lines do not move: the input splits are counted, and every line adds its place within its
-    split to the number of lines in the splits before. The table of splits has one small row per
-    input split and Spark decides by its size whether to broadcast it.
+    The rows do not move: the input splits are counted, and every row adds its place within its
+    split to the number of rows in the splits before. The table of splits has one small row per
+    input split and the planner decides by its size whether to broadcast it.
     """
-    lines = spark.read.text(path).select(
-        "value",
+    rows = scan.select(
+        "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    splits = lines.groupBy("_file", "_start").agg(
+    splits = rows.groupBy("_file", "_start").agg(
         F.min("_id").alias("_first"), F.count("*").alias("_n")
     )
     earlier = Window.partitionBy(F.lit(0)).orderBy("_file", "_start").rowsBetween(
@@ -67,7 +67,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         "_file", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
     place = F.col("_before") + F.col("_id") - F.col("_first") + 1
-    return lines.join(offsets, ["_file", "_start"]).select(place.alias("index"), "value")
+    return rows.join(offsets, ["_file", "_start"]).select(place.alias("index"), *scan.columns)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(index, value): the numbered lines of a text file or folder."""
+    return numbered(spark.read.text(path))
 
 
 def read_label_file(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -49,9 +49,10 @@ def _every(spark, sf_dir, scores: DataFrame) -> DataFrame:
 
 
 # Cosine over (index, token, a, b) rows: weights of title and description words.
-def _cosine_sql(name: str) -> str:
+def _cosine_sql(name: str, digits: int | None = 9) -> str:
+    score = "coalesce(s, 0.0)" if digits is None else f"round(coalesce(s, 0.0), {digits})"
     return (
-        "SELECT p.index, round(coalesce(s, 0.0), 9) AS " + name + " FROM products p LEFT JOIN ("
+        f"SELECT p.index, {score} AS {name} FROM products p LEFT JOIN ("
         "SELECT index, CASE WHEN sum(a * a) > 0 AND sum(b * b) > 0 "
         "THEN sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) ELSE 0.0 END AS s "
         "FROM weights GROUP BY index) x ON x.index = p.index"
@@ -242,7 +243,7 @@ _ZERO |= {
 
 @query(
     "feat_clarity_frame",
-    f"""WITH {TFIDF}, scores AS ({_cosine_sql("tf_score")}),
+    f"""WITH {TFIDF}, scores AS ({_cosine_sql("tf_score", None)}),
   {TAGGED.replace(sql.PRODUCTS + ",", "")}, {TOPICS}, {sql.VECTORS}, {sql.SIDE_VECTORS},
   {PAIR_MEAN}, {MEAN_VECTOR}, {_LISTED}
 SELECT toks.index, {", ".join(f"round(({e})::DOUBLE, 6) AS {c}" for c, e in _ZERO.items())}

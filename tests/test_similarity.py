@@ -81,6 +81,15 @@ def test_mean_vector(words, texts, table, vectors):
             assert got.get(i) is None
 
 
+def test_both_vector_scores_at_once(words, vectors):
+    both = {r["index"]: (r.w2v_score, r.sp_score) for r in similarity.vector_scores(words, vectors).collect()}
+    pair = {r["index"]: r.w2v_score for r in similarity.pair_mean(words, vectors).collect()}
+    mean = {r["index"]: r.sp_score for r in similarity.mean_vector_cosine(words, vectors).collect()}
+    assert both.keys() == pair.keys() == mean.keys()
+    for i, (a, b) in both.items():
+        assert a == pytest.approx(pair[i]) and b == pytest.approx(mean[i])
+
+
 def loop_profile(t, d, table):
     line = []
     for x in t:

@@ -101,52 +101,73 @@ class WordVectors:
     def __init__(self, table: DataFrame, key: Column, rows: int, dim: int):
         self.table, self.key, self.rows, self.dim = table, key, rows, dim
 
-    def attach(self, words: DataFrame, normalised: bool = False) -> DataFrame:
-        """Rows with a known word and its ``vec``; words outside the table fall out."""
+    def attach(self, words: DataFrame, *columns: str) -> DataFrame:
+        """Rows with a known word and its ``vec`` and/or ``unit`` vector; others fall out."""
         table = self.table
-        if normalised:
-            table = table.withColumn("vec", unit(F.col("vec")))
+        if "unit" in columns:
+            table = table.withColumn("unit", unit(F.col("vec")))
         keyed = words.withColumn("vec_id", self.key)
-        return lookup(keyed, table, "vec_id", self.rows, 8 * self.dim)
-
-    def summed(self, words: DataFrame, *by: str, normalised: bool = False) -> DataFrame:
-        """Sum of the vectors of the words, each times ``n``, and the number of known words."""
-        found = self.attach(words, normalised)
-        cells = [F.sum(F.col("vec")[i] * F.col("n")).alias(f"_{i}") for i in range(self.dim)]
+        row_bytes = 8 * self.dim * len(columns)
+        return lookup(keyed, table.select("vec_id", *columns), "vec_id", self.rows, row_bytes)
+
+    def summed(self, words: DataFrame, *by: str, columns: tuple[str, ...] = ("vec",)) -> DataFrame:
+        """Sums of the vectors of the words, each times ``n``, and the number of known words."""
+        found = self.attach(words, *columns)
+        names = {c: [f"_{c}{i}" for i in range(self.dim)] for c in columns}
+        cells = [
+            F.sum(F.col(c)[i] * F.col("n")).alias(name)
+            for c in columns
+            for i, name in enumerate(names[c])
+        ]
         sums = found.groupBy(*by).agg(F.sum("n").alias("known"), *cells)
-        return sums.select(*by, "known", F.array(*[f"_{i}" for i in range(self.dim)]).alias("vec"))
+        return sums.select(*by, "known", *[F.array(*names[c]).alias(c) for c in columns])
 
 
-def _both_sides(sums: DataFrame) -> DataFrame:
-    """One row per index from one row per (index, side)."""
+def _side_sums(words: DataFrame, vectors: WordVectors, *columns: str) -> DataFrame:
+    """One row per index with the vector sums of title (``_t``) and description (``_d``)."""
+    sums = vectors.summed(known(words), "index", "side", columns=columns)
     return sums.groupBy("index").agg(
         *[
             F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}")
-            for s in ("t", "d")
-            for c in ("known", "vec")
+            for s in "td"
+            for c in ("known", *columns)
         ]
     )
 
 
+def _mean_pair_cosine() -> Column:
+    """The mean of the cosines is the product of the mean unit vectors, so no pair is formed."""
+    return dot(F.col("unit_t"), F.col("unit_d")) / (F.col("known_t") * F.col("known_d"))
+
+
+def _mean_cosine() -> Column:
+    t, d = F.col("vec_t"), F.col("vec_d")
+    return F.try_divide(dot(t, d), F.sqrt(dot(t, t)) * F.sqrt(dot(d, d)))
+
+
 def pair_mean(words: DataFrame, vectors: WordVectors, name: str = "w2v_score") -> DataFrame:
     """Mean cosine over all pairs of a title word and a description word.
 
-    The mean of the cosines is the product of the mean unit vectors, so no pair is formed. Rows
-    with a side without known words fall out or are null.
+    Rows with a side without known words fall out or are null.
     """
-    both = _both_sides(vectors.summed(known(words), "index", "side", normalised=True))
-    score = dot(F.col("vec_t"), F.col("vec_d")) / (F.col("known_t") * F.col("known_d"))
-    return both.select("index", score.alias(name))
+    sums = _side_sums(words, vectors, "unit")
+    return sums.select("index", _mean_pair_cosine().alias(name))
 
 
 def mean_vector_cosine(
     words: DataFrame, vectors: WordVectors, name: str = "sp_score"
 ) -> DataFrame:
     """Cosine of the mean word vectors of the two texts; null if one has no known word."""
-    both = _both_sides(vectors.summed(known(words), "index", "side"))
-    t, d = F.col("vec_t"), F.col("vec_d")
-    score = F.try_divide(dot(t, d), F.sqrt(dot(t, t)) * F.sqrt(dot(d, d)))
-    return both.select("index", score.alias(name))
+    sums = _side_sums(words, vectors, "vec")
+    return sums.select("index", _mean_cosine().alias(name))
+
+
+def vector_scores(words: DataFrame, vectors: WordVectors) -> DataFrame:
+    """Both vector scores, ``w2v_score`` and ``sp_score``, from one lookup of the words."""
+    sums = _side_sums(words, vectors, "vec", "unit")
+    return sums.select(
+        "index", _mean_pair_cosine().alias("w2v_score"), _mean_cosine().alias("sp_score")
+    )
 
 
 def text_vector(texts: DataFrame, tokens: Column, vectors: WordVectors) -> DataFrame:
@@ -212,13 +233,13 @@ def top5_profile(words: DataFrame, vectors: WordVectors) -> DataFrame:
     lengths = words.groupBy("index").agg(
         F.sum(F.when(F.col("side") == "t", F.col("n")).otherwise(0)).alias("title_len")
     )
-    found = vectors.attach(known(words), normalised=True)
+    found = vectors.attach(known(words), "unit")
     block = (F.col("first") / BLOCK).cast("int").alias("block")
     blocks = (
         found.groupBy("index", "side", block)
-        .agg(F.collect_list(F.struct("first", "n", "vec")).alias("words"))
+        .agg(F.collect_list(F.struct("first", "n", "unit")).alias("words"))
         .select(
-            "index", "side", "words.first", "words.n", F.flatten("words.vec").alias("vec")
+            "index", "side", "words.first", "words.n", F.flatten("words.unit").alias("vec")
         )
     )
     t, d = (

@@ -208,7 +208,7 @@ def _(spark, sf_dir):
     words = products(spark, sf_dir).select(
         F.explode(text.useful_words(F.col("title"))).alias("token")
     ).distinct()
-    writers.write_parquet(word_vectors(spark, sf_dir).attach(words), path)
+    writers.write_parquet(word_vectors(spark, sf_dir).attach(words, "vec"), path)
     stored = readers.read_parquet(spark, path, "token string, vec_id long, vec array<double>")
     return stored.select(
         "token",

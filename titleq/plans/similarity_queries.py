@@ -178,7 +178,7 @@ def _(spark, sf_dir):
 def clarity_frame(spark, sf_dir) -> DataFrame:
     """One row per product with the 22 clarity features.
 
-    Row features come from one projection. The three scores are computed apart and joined by
+    Row features come from one projection. The scores are computed apart and joined by
     index; absent scores count as 0.
     """
     df = products(spark, sf_dir)
@@ -213,9 +213,8 @@ def clarity_frame(spark, sf_dir) -> DataFrame:
     )
     pairs = written(similarity.side_words(plain, _title(), _description()), "side_words")
     scores = [
-        similarity.pair_mean(pairs, vectors),
+        similarity.vector_scores(pairs, vectors),
         similarity.tfidf_corpus(_long(pairs), _texts(spark, sf_dir)),
-        similarity.mean_vector_cosine(pairs, vectors),
     ]
     joined = reduce(lambda a, b: a.join(b, "index", "left"), [row, listed, *scores])
     return joined.select(

@@ -112,10 +112,10 @@ class WordVectors:
 
     def summed(self, words: DataFrame, *by: str, columns: tuple[str, ...] = ("vec",)) -> DataFrame:
         """Sums of the vectors of the words, each times ``n``, and the number of known words."""
-        found = self.attach(words, *columns)
+        found = self.attach(words.withColumn("_times", F.col("n").cast("double")), *columns)
         names = {c: [f"_{c}{i}" for i in range(self.dim)] for c in columns}
         cells = [
-            F.sum(F.col(c)[i] * F.col("n")).alias(name)
+            F.sum(F.col(c)[i] * F.col("_times")).alias(name)
             for c in columns
             for i, name in enumerate(names[c])
         ]

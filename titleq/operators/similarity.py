@@ -181,41 +181,48 @@ def text_vector(texts: DataFrame, tokens: Column, vectors: WordVectors) -> DataF
     return vectors.summed(words, "index")
 
 
-def _cells(column: pa.Array) -> list[np.ndarray]:
-    """The lists of an Arrow list column as numpy views."""
-    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-
-
-def _block_top(batches):
-    """Five largest similarities of each title word with the words of one description block."""
-    for batch in batches:
-        index, first, n, sims = [], [], [], []
-        columns = [_cells(batch.column(c)) for c in ("t_first", "t_n", "t_vec", "d_n", "d_vec")]
-        for key, t_first, t_n, t_vec, d_n, d_vec in zip(batch.column("index").to_numpy(), *columns):
-            a, b = t_vec.reshape(len(t_n), -1), d_vec.reshape(len(d_n), -1)
-            best = np.repeat(a @ b.T, np.minimum(d_n, 5), axis=1)
-            if best.shape[1] > 5:
-                best = -np.partition(-best, 4, axis=1)[:, :5]
-            index.append(np.full(len(t_n), key))
-            first.append(t_first)
-            n.append(t_n)
-            sims.append(best)
-        if not index:
-            continue
-        widths = np.concatenate([np.full(len(x), x.shape[1]) for x in sims])
-        ends = np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(index), pa.int64()),
-                pa.array(np.concatenate(first), pa.int32()),
-                pa.array(np.concatenate(n), pa.int64()),
-                pa.ListArray.from_arrays(
-                    pa.array(ends), pa.array(np.concatenate([x.ravel() for x in sims]), pa.float64())
-                ),
-            ],
-            names=["index", "first", "n", "sims"],
-        )
+def _block_top():
+    """Function over Arrow batches: the five largest similarities of each title word of a block.
+
+    It is nested so that executors get its code with the task and need not import this package.
+    """
+
+    def cells(column: pa.Array) -> list[np.ndarray]:
+        """The lists of a list column as numpy views."""
+        flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def best_five(batches):
+        for batch in batches:
+            index, first, n, sims = [], [], [], []
+            columns = [cells(batch.column(c)) for c in ("t_first", "t_n", "t_vec", "d_n", "d_vec")]
+            for key, t_first, t_n, t_vec, d_n, d_vec in zip(
+                batch.column("index").to_numpy(), *columns
+            ):
+                a, b = t_vec.reshape(len(t_n), -1), d_vec.reshape(len(d_n), -1)
+                best = np.repeat(a @ b.T, np.minimum(d_n, 5), axis=1)
+                if best.shape[1] > 5:
+                    best = -np.partition(-best, 4, axis=1)[:, :5]
+                index.append(np.full(len(t_n), key))
+                first.append(t_first)
+                n.append(t_n)
+                sims.append(best)
+            if not index:
+                continue
+            widths = np.concatenate([np.full(len(x), x.shape[1]) for x in sims])
+            ends = np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)
+            values = pa.array(np.concatenate([x.ravel() for x in sims]), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(index), pa.int64()),
+                    pa.array(np.concatenate(first), pa.int32()),
+                    pa.array(np.concatenate(n), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), values),
+                ],
+                names=["index", "first", "n", "sims"],
+            )
+
+    return best_five
 
 
 def top5_profile(words: DataFrame, vectors: WordVectors) -> DataFrame:
@@ -250,7 +257,7 @@ def top5_profile(words: DataFrame, vectors: WordVectors) -> DataFrame:
     )
     best = (
         t.join(d.drop("d_first"), "index")
-        .mapInArrow(_block_top, "index long, first int, n long, sims array<double>")
+        .mapInArrow(_block_top(), "index long, first int, n long, sims array<double>")
         .groupBy("index", "first", "n")
         .agg(
             F.slice(

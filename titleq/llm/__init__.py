@@ -5,5 +5,5 @@ from importlib import import_module
 
 def load() -> None:
     """Fill the registry with the queries of this subpackage."""
-    for name in ("queries",):
+    for name in ("queries", "pipeline_query"):
         import_module(f"{__name__}.{name}")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import anchors, decontam, golay, lang_id
+from . import anchors, decontam, golay, graph_index, lang_id, mixing, pieces, quality, token_count, url_filter
 from .common import remainder, table
 
 
@@ -68,3 +69,46 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op5_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder(4) == 2
+    found = quality.quality_scores(docs, labels.select("doc_id", F.col("quality").alias("label")), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+TOKEN_LIMIT = 2048
+
+
+@query("op6_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query("op7_url_filters")
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"))
+
+
+@query("op8_sentencepiece")
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scores(table(spark, sf_dir, "documents"), remainder(7) == 2)
+
+
+NEIGHBOURS = 20
+
+
+@query("op2_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graph_index.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    graphs = graph_index.index(rows, NEIGHBOURS + 1)
+    found = graph_index.nearest(graphs, rows.where(F.col("id") % 20 == 0), NEIGHBOURS)
+    return found.withColumnRenamed("id", "vec_id")

@@ -9,9 +9,9 @@ import math
 import sys
 import time
 from decimal import Decimal
+from pathlib import Path
 
 import __spark_entry__ as entry
-from titleq.schemas import TABLES
 
 ROOT = "/root/testdata"
 
@@ -20,8 +20,8 @@ def connect(sf_dir: str):
     import duckdb
 
     con = duckdb.connect()
-    for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    for path in sorted(Path(sf_dir).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return con
 
 

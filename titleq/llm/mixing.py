@@ -43,7 +43,7 @@ CLASS_ROWS, CLASS_WORDS, CLASSES = 2000, 2000, 16
 #: Slots of the contexts' tables: one, two, three bytes, the whole word.
 SLOTS = (1 << 19, 1 << 20, 1 << 21, 1 << 21)
 WHOLE = 1 << 16
-HEAD = 100_000
+HEAD = 1 << 16
 #: Distinct words that a task counts before it hands them on, and words learned from at once.
 COUNTED = 1 << 19
 CHUNK = 4096
@@ -413,13 +413,14 @@ _READ = (
 )
 
 
-def read_texts(docs: DataFrame, held_out: Column, chooser: ClassChooser, head: list) -> DataFrame:
+def read_texts(docs: DataFrame, held_out: Column, chooser: ClassChooser, head: pa.Table) -> DataFrame:
     """One row per text: sums over its frequent words, and its other words with their numbers."""
-    place = {r["token"].encode(): i for i, r in enumerate(head)}
-    c = np.array([r["c"] for r in head], float)
-    logs = np.zeros((len(head), len(chooser.names)))
-    for i, r in enumerate(head):
-        logs[i, r["classes"]] = r["logs"]
+    place = {t: i for i, t in enumerate(head.column("token").cast(pa.binary()).to_pylist())}
+    c = head.column("c").to_numpy()
+    kinds = head.column("classes").combine_chunks()
+    row = np.repeat(np.arange(len(kinds)), np.diff(kinds.offsets.to_numpy()))
+    logs = np.zeros((len(kinds), len(chooser.names)))
+    logs[row, kinds.flatten().to_numpy()] = head.column("logs").combine_chunks().flatten().to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast((chooser, place, np.append(np.log10(c + 1), 0), np.append(c > 0, False), np.vstack([logs, np.zeros((1, logs.shape[1]))])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,7 +474,7 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     weights, seen = learn_mixer(words, tables)
     logs = written(score_words(words, tables, weights, seen), "word_scores")
 
-    head = logs.orderBy(F.desc("n"), "token").limit(HEAD).collect()
+    head = logs.orderBy(F.desc("n"), "token").limit(HEAD).select("token", "c", "classes", "logs").toArrow()
     read = written(read_texts(docs, held_out, chooser, head), "text_sums")
     tail = read.select("row", "class", F.explode(F.arrays_zip("tail", "times")).alias("w")).select(
         "row", "class", F.col("w.tail").alias("token"), F.col("w.times").alias("times")

@@ -8,9 +8,10 @@ the unigram scores or, for a merging model, the merges that the scores order, wi
 If no piece has a marker after another character, no merge crosses the start of a marker run, so a
 text's ids are those of its pieces cut there. New pieces are encoded in batches of bounded size by
 several threads, and every one is verified against the sentencepiece library inside the task; a
-difference stops the job, as results would be wrong. Their ids are kept in a cache of bounded size.
-If some piece forbids the cut, whole texts take the place of pieces. Each row is decoded again by
-the rebuilt decoder and compared with its normalised text.
+difference stops the job, as results would be wrong. Each new piece is also decoded by the rebuilt
+decoder and compared; a text decodes to its normalised self if all its pieces do, as a piece's bytes
+are whole characters. The first pieces of a task, the frequent ones among them, stay in a cache of
+bounded size. If some piece forbids the cut, whole texts take the place of pieces.
 
 A null or empty text has no ids and decodes to the empty text. Repeated rows get equal results, a
 null doc_id stays null, other columns are ignored.
@@ -35,7 +36,7 @@ MARK = "▁"
 #: Runs of markers with what follows, or what stands before the first.
 RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Characters encoded by one call, and pieces whose ids are kept at once.
-BATCH = 1 << 18
+BATCH = 1 << 20
 CACHE = 1 << 18
 THREADS = 2
 #: Fixed values of the model file's format: kinds of pieces and of models.
@@ -128,7 +129,8 @@ class PieceTokenizer:
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
         self.library = library
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, int] = {}
+        self.flat, self.sizes, self.good = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
         self.model = m = read_model(path)
         if m.suffix_marker or not m.escape:
             raise ValueError("markers after words and unmarked blanks are not supported")
@@ -177,8 +179,13 @@ class PieceTokenizer:
         """Runs of markers with what follows them; the whole text if merges may cross their starts."""
         return RUNS.findall(text) if self.splits else [text]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces in batches by several threads, and hold them against the library."""
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids, whether they decode to the piece) of new pieces.
+
+        They are encoded in batches by several threads, and held against the library.
+        """
+        found: list[list[int]] = []
+        good: list[bool] = []
         i = 0
         while i < len(pieces):
             j, weight = i, 0
@@ -186,31 +193,49 @@ class PieceTokenizer:
                 weight += len(pieces[j])
                 j += 1
             batch = pieces[i:j]
-            found = [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
             if self.library is not None:
-                self._verify(batch, found)
-            self.known.update(zip(batch, found))
+                self._verify(batch, ids)
+            good += [a == b for a, b in zip(self.tokenizer.decode_batch(ids, skip_special_tokens=False), batch)]
+            found += ids
             i = j
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes, np.array(good, bool)
 
-    def _verify(self, pieces: list[str], ids: list[tuple[int, ...]]) -> None:
+    def _verify(self, pieces: list[str], ids: list[list[int]]) -> None:
         whole = [(p[len(MARK) :] if self.model.dummy_prefix else p).replace(MARK, " ") for p in pieces]
         for piece, text, own, other in zip(pieces, whole, ids, self.library.encode(whole, num_threads=1)):
             if self.model.dummy_prefix and (not text or not piece.startswith(MARK)):
                 continue  # no text is encoded as this piece alone
-            if list(own) != other:
+            if own != other:
                 raise AssertionError(f"ids differ from the sentencepiece library for {text[:200]!r}")
 
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, ids of each text, whether each text's pieces decode to themselves)."""
+        split = [self._pieces(t) if t else [] for t in map(self.normalised, texts)]
+        new = list(set(chain.from_iterable(split)).difference(self.known))
+        base, own = len(self.sizes), {}
+        flat, sizes, good = (np.concatenate(x) for x in zip((self.flat, self.sizes, self.good), self._learn(new)))
+        if base < CACHE:
+            self.known.update(zip(new, range(base, base + len(new))))
+            self.flat, self.sizes, self.good = flat, sizes, good
+        else:  # frequent pieces are in the cache by now; the others serve this call alone
+            own = dict(zip(new, range(base, base + len(new))))
+        get = self.known.get
+        at = np.array([k if (k := get(p, -1)) >= 0 else own[p] for p in chain.from_iterable(split)], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        number = sizes[at]
+        ends = np.cumsum(number)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(starts[at] - (ends - number), number) + np.arange(total)]
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in split])
+        counts = np.bincount(owner, number, len(texts)).astype(np.int64)
+        return ids, counts, np.bincount(owner, ~good[at], len(texts)) == 0
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
-        out = []
-        for text in texts:
-            text = self.normalised(text)
-            pieces = self._pieces(text) if text else []
-            if len(self.known) > CACHE:
-                self.known.clear()
-            self._learn(list(set(pieces).difference(self.known)))
-            out.append(list(chain.from_iterable(map(self.known.__getitem__, pieces))))
-        return out
+        ids, counts, _ = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of the ids, the dummy prefix taken away again."""
@@ -230,7 +255,7 @@ class PieceTokenizer:
 def encoded(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) of every row; ``path`` exists on each machine.
 
-    ``round_trip`` tells whether the ids decode to the normalised text.
+    ``round_trip`` tells whether all pieces of the text decode to themselves.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +268,8 @@ def encoded(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
             for first, last, data, bounds in byte_slices(batch.column(1)):
                 raw = data.tobytes()
                 texts = [raw[a:b].decode() for a, b in zip(bounds[:-1], bounds[1:])]
-                ids = tokenizer.encode(texts)
-                same = [a == tokenizer.expected(b) for a, b in zip(tokenizer.decode(ids), texts)]
-                counts = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
-                arrays = [batch.column(0).slice(first, last - first), list_array(pa.array(flat), counts), pa.array(counts), pa.array(same, pa.bool_())]
+                ids, counts, same = tokenizer.encode_flat(texts)
+                arrays = [batch.column(0).slice(first, last - first), list_array(pa.array(ids), counts), pa.array(counts), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "n_tokens", "round_trip"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(

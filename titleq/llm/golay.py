@@ -186,18 +186,21 @@ def links(nodes: DataFrame, most_bits: int = MOST_BITS, block: int = BLOCK) -> D
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     keys = nodes.select("fp", "node").mapInArrow(keyed, "key long, fp long, node long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    # A key with n members has n/block blocks; a member of block i meets each block j once, in the
-    # group of the pair (i, j).
+    hot = written(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "hot_keys")
+    lists = F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes")
+    cold = keys.join(hot, "key", "left_anti").groupBy("key").agg(*lists)
+    # A hot key with n members has n/block blocks; a member of block i meets each block j once, in
+    # the group of the pair (i, j).
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    grouped = (
-        keys.join(shared, "key")
+    split = (
+        keys.join(hot, "key")
         .select("key", "fp", "node", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
         .groupBy("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"))
-        .agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes"))
+        .agg(*lists)
     )
-    return grouped.where(F.size("fps") > 1).select("fps", "nodes").mapInArrow(tied, "a long, b long")
+    grouped = cold.select("fps", "nodes").unionByName(split.select("fps", "nodes"))
+    return grouped.where(F.size("fps") > 1).mapInArrow(tied, "a long, b long")
 
 
 def near_groups(

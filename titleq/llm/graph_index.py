@@ -217,11 +217,12 @@ def nearest(graphs: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BE
     """(query_id, rank, id, score): the ``k`` best found for each of the queries (id, vec)."""
     queries = queries.dropDuplicates(["id"])
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    shards = graphs.select("shard").distinct()
+    last = graphs.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0]
     # Each query goes to each shard: the question itself, in blocks.
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(
-        F.broadcast(shards.agg(F.collect_set("shard").alias("shards")))
-    ).select("id", "vec", "block", F.explode("shards").alias("shard"))
+    asked = queries.select(
+        "id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"),
+    )
     held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

@@ -40,6 +40,7 @@ from .common import (
     back_to_null,
     byte_slices,
     doc_key,
+    fits_broadcast,
     list_array,
     run_hashes,
     splitmix,
@@ -262,7 +263,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     cut = _judged(docs).where("n_removed > 0").select(
         F.col("_id").alias("_cut_id"), F.col("_row").alias("_cut_row"), F.col("kept").alias("_cut_kept")
     ).dropDuplicates(["_cut_id", "_cut_row"])
-    joined = docs.join(cut, (doc_key() == cut["_cut_id"]) & (text_key() == cut["_cut_row"]), "left")
+    cut = written(cut, "cut_texts")
+    same = (doc_key() == F.col("_cut_id")) & (text_key() == F.col("_cut_row"))
+    keys = cut.select("_cut_id", "_cut_row")
     text = F.coalesce("_cut_kept", "text")
     columns = [text.alias(c) if c == "text" else F.when(F.col("_cut_id").isNotNull(), F.length("_cut_kept").cast(t)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return joined.select(*columns)
+    if not fits_broadcast(keys.count(), 64):
+        return docs.join(cut, same, "left").select(*columns)
+    # Few enough keys to send: only texts that change move.
+    changed = docs.join(F.broadcast(keys), same, "left_semi").join(cut, same).select(*columns)
+    return docs.join(F.broadcast(keys), same, "left_anti").unionByName(changed)

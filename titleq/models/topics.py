@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 
 def vocabulary(model: CountVectorizerModel, spark) -> DataFrame:
-    """(term_id, term) of a fitted bag of words; its size is limited by the estimator."""
+    """(term_id, term) of a fitted bag of words."""
     return spark.createDataFrame(list(enumerate(model.vocabulary)), "term_id int, term string")
 
 
 def bag_of_words(rows: DataFrame, tokens: str) -> tuple[CountVectorizerModel, DataFrame]:
-    model = CountVectorizer(inputCol=tokens, outputCol="counts").fit(rows)
+    """The vocabulary holds every term of the rows: its size is counted, not left to a default."""
+    terms = rows.select(F.explode(tokens).alias("term")).agg(F.count_distinct("term")).first()[0]
+    model = CountVectorizer(inputCol=tokens, outputCol="counts", vocabSize=max(terms, 1)).fit(rows)
     return model, model.transform(rows)
 
 

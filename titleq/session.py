@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,12 +31,13 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can see: the session's ``spark.checkpoint.dir``.
 
-    A private folder is made up only in local mode, where the driver is the only machine.
+    A private folder is made up only in local mode, where the driver is the only machine, and only
+    if the setting is missing.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="titleq-")
     spark.conf.set("spark.checkpoint.dir", root)

@@ -10,8 +10,8 @@ text's ids are those of its pieces cut there. New pieces are encoded in batches
 several threads, and every one is verified against the sentencepiece library inside the task; a
 difference stops the job, as results would be wrong. Each new piece is also decoded by the rebuilt
 decoder and compared; a text decodes to its normalised self if all its pieces do, as a piece's bytes
-are whole characters. The first pieces of a task, the frequent ones among them, stay in a cache of
-bounded size. If some piece forbids the cut, whole texts take the place of pieces.
+are whole characters. The first pieces of a worker process, the frequent ones among them, stay in a cache
+of bounded size, which the tasks that follow in that process find filled. If some piece forbids the cut, whole texts take the place of pieces.
 
 A null or empty text has no ids and decodes to the empty text. Repeated rows get equal results, a
 null doc_id stays null, other columns are ignored.
@@ -23,6 +23,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,7 +37,7 @@ MARK = "▁"
 #: Runs of markers with what follows, or what stands before the first.
 RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Characters encoded by one call, and pieces whose ids are kept at once.
-BATCH = 1 << 20
+BATCH = 1 << 17
 CACHE = 1 << 18
 THREADS = 2
 #: Fixed values of the model file's format: kinds of pieces and of models.
@@ -214,15 +215,15 @@ class PieceTokenizer:
         """(ids of all texts, ids of each text, whether each text's pieces decode to themselves)."""
         split = [self._pieces(t) if t else [] for t in map(self.normalised, texts)]
         new = list(set(chain.from_iterable(split)).difference(self.known))
-        base, own = len(self.sizes), {}
+        base = len(self.sizes)
         flat, sizes, good = (np.concatenate(x) for x in zip((self.flat, self.sizes, self.good), self._learn(new)))
+        self.known.update(zip(new, range(base, base + len(new))))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
         if base < CACHE:
-            self.known.update(zip(new, range(base, base + len(new))))
             self.flat, self.sizes, self.good = flat, sizes, good
         else:  # frequent pieces are in the cache by now; the others serve this call alone
-            own = dict(zip(new, range(base, base + len(new))))
-        get = self.known.get
-        at = np.array([k if (k := get(p, -1)) >= 0 else own[p] for p in chain.from_iterable(split)], np.int64)
+            for piece in new:
+                del self.known[piece]
         starts = np.cumsum(sizes) - sizes
         number = sizes[at]
         ends = np.cumsum(number)
@@ -252,6 +253,16 @@ class PieceTokenizer:
         return text[1:] if self.model.dummy_prefix and text else text
 
 
+@lru_cache(maxsize=1)
+def _worker_tokenizer(path: str, threads: int) -> PieceTokenizer:
+    """The tokenizer of a worker process, verified against the library: built once, not per task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+    import sentencepiece
+
+    return PieceTokenizer(path, sentencepiece.SentencePieceProcessor(model_file=path))
+
+
 def encoded(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) of every row; ``path`` exists on each machine.
 
@@ -259,11 +270,7 @@ def encoded(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        import sentencepiece
-
-        tokenizer = PieceTokenizer(path, sentencepiece.SentencePieceProcessor(model_file=path))
+        tokenizer = _worker_tokenizer(path, threads)
         for batch in batches:
             for first, last, data, bounds in byte_slices(batch.column(1)):
                 raw = data.tobytes()

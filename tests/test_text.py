@@ -132,16 +132,20 @@ def test_concise_features_on_edges(spark):
             (2, "", None),
             (3, "the of", "\n\n"),
             (4, "lamp", "the and"),
+            (5, "lamp-shade (red)", "lamp/shade"),
+            (6, "&", None),
         ],
     )
     got = {r["index"]: r for r in features.concise_features(df).collect()}
     one_ = got[1]
-    assert (one_.original_tokens, one_.regex_tokens, one_.nsw_tokens, one_.sw_tokens) == (5, 1, 4, 0)
+    assert (one_.original_tokens, one_.regex_tokens, one_.nsw_tokens, one_.sw_tokens) == (6, 2, 4, 0)
     assert (one_.des_same, one_.repeat_tokens, one_.title_character_count) == (1, 2, 20)
     assert one_.tit_des_ratio == 4 / 2
     assert (got[2].original_tokens, got[2].regex_tokens, got[2].tit_des_ratio) == (1, 1, 1.0)
     assert (got[3].nsw_tokens, got[3].sw_tokens, got[3].des_tokens) == (0, 2, 0)
     assert got[4].tit_des_ratio == 1.0
+    assert (got[5].original_tokens, got[5].regex_tokens, got[5].title_character_count) == (4, 1, 16)
+    assert (got[6].original_tokens, got[6].nsw_tokens, got[6].title_character_count) == (0, 0, 1)
 
 
 def test_tag_counts_of_an_empty_title_are_zero(spark):

@@ -27,10 +27,14 @@ def in_segment_a(category: str = "category_1") -> Column:
 def concise_features(
     products: DataFrame, title: str = "title", description: str = "description"
 ) -> DataFrame:
-    """The token features of the conciseness model."""
+    """The token features of the conciseness model.
+
+    Tokens are those of the cleaned texts, the length is that of the title as given. Word tokens do
+    not depend on the cleaning, as it blanks none of their characters.
+    """
     df = products.withColumns(
         {
-            "_ws": text.ws_tokens(text.text(title)),
+            "_ws": text.ws_tokens(text.strip_special(text.text(title))),
             "_word": text.words(text.text(title)),
             "_des": text.useful_words(text.text(description)),
         }

@@ -63,7 +63,7 @@ def _processed(spark, sf_dir):
         products(spark, sf_dir, False)
         .join(labels(spark, sf_dir), "index")
         .select(
-            F.col("index").cast("int").alias("index"),
+            "index",
             writers.one_line("title").alias("title"),
             clean(writers.one_line("title")).alias("new_title"),
             writers.one_line("description").alias("description"),
@@ -81,7 +81,7 @@ def _cleaned_sql(c):
 
 @query(
     "src_csv_header_typed",
-    f"""WITH {sql.PRODUCTS}, {sql.LABELS} SELECT index::INTEGER AS index,
+    f"""WITH {sql.PRODUCTS}, {sql.LABELS} SELECT index,
   nullif({_one_line_sql("title")}, '') AS title, nullif({_cleaned_sql("title")}, '') AS new_title,
   nullif({_one_line_sql("description")}, '') AS description,
   nullif({_cleaned_sql("description")}, '') AS new_des, category_1, concise, clarity

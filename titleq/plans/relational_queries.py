@@ -468,12 +468,12 @@ def _(spark, sf_dir):
     return df.orderBy("index").limit(20)
 
 
-@query("srt_cast", "SELECT CAST(doc_id + 1 AS INTEGER) AS index_int, quality FROM labels")
+@query("srt_cast", "SELECT CAST(doc_id + 1 AS BIGINT) AS index_int, quality FROM labels")
 def _(spark, sf_dir):
     texts = labels(spark, sf_dir).select(
         F.col("index").cast("string").alias("index"), F.col("concise").alias("quality")
     )
-    return texts.withColumn("index_int", F.col("index").cast("int")).orderBy("index_int").drop("index")
+    return texts.withColumn("index_int", F.col("index").cast("long")).orderBy("index_int").drop("index")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import BLANKS
+from ..functions.text import BLANKS, SPECIAL
 from ..functions.words import STOP_WORDS
 from ..schemas import CATEGORIES, SEGMENT_A
 
@@ -39,6 +39,10 @@ def nonstop(tokens: str) -> str:
     return f"list_filter({tokens}, lambda x: NOT list_contains({STOPS}, x))"
 
 
+def strip_special(c: str) -> str:
+    return f"regexp_replace({c}, {quoted([SPECIAL])}, ' ', 'g')"
+
+
 def ws_tokens(c: str) -> str:
     cut = f"rtrim(lower({c}), {BLANK_CHARS})"
     return (
@@ -57,7 +61,7 @@ def common(a: str, b: str) -> str:
 
 TOKENS = f"""{PRODUCTS}, tok AS (
   SELECT index, category_1, category_2, category_3, title, coalesce(description, '') AS des,
-    {ws_tokens("title")} AS ws, {words("title")} AS w
+    {ws_tokens(strip_special("title"))} AS ws, {words("title")} AS w
   FROM products), toks AS (
   SELECT *, {nonstop("w")} AS nsw, {nonstop(words("des"))} AS nd FROM tok)"""
 

@@ -27,7 +27,7 @@ CLEAN_PRODUCT = (
     "description string, concise int, clarity int"
 )
 PROCESSED_PRODUCT = (
-    "index int, title string, new_title string, description string, new_des string, "
+    "index long, title string, new_title string, description string, new_des string, "
     "category_1 string, concise int, clarity int"
 )
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..functions import text, words
 from ..functions.stems import snowball, stems
 from ..models import topics, training
-from ..operators import evaluate, features, layout, lexicon, similarity
+from ..operators import evaluate, features, lexicon, similarity
 from ..schemas import (
     CATEGORIES,
     CLARITY_FEATURES,
@@ -146,15 +146,19 @@ def _sentences(spark, sf_dir) -> DataFrame:
     return products(spark, sf_dir).select("index", both.alias("tokens"))
 
 
-def word2vec(rows: DataFrame, tokens: str, min_count: int = 1):
-    """Word vectors trained on token lists.
+def word2vec(
+    rows: DataFrame, tokens: str, min_count: int = 1, size: int = 200, window: int = 5,
+    passes: int = 5, partitions: int = 8,
+):
+    """Word vectors trained on token lists, in ``passes`` over ``partitions`` parts of the rows.
 
-    Training runs in as many partitions as shuffles have. The vocabulary and its vectors are held
-    by the driver, as in every fit of this estimator, so ``min_count`` must rise with the corpus.
+    The number of parts changes the vectors, so it is a parameter and no session setting. Token
+    lists are whole sentences, however long. The vocabulary and its vectors are held by the driver,
+    as in every fit of this estimator, so ``min_count`` must rise with the corpus.
     """
     return Word2Vec(
-        inputCol=tokens, outputCol="doc_vec", vectorSize=200, windowSize=5, minCount=min_count,
-        numPartitions=layout.shuffle_width(rows), seed=SEED,
+        inputCol=tokens, outputCol="doc_vec", vectorSize=size, windowSize=window, minCount=min_count,
+        maxIter=passes, numPartitions=partitions, maxSentenceLength=2**31 - 1, seed=SEED,
     ).fit(rows)
 
 
@@ -190,7 +194,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """A vector per title: the mean of its word vectors; words seen fewer than five times fall out."""
     rows = products(spark, sf_dir).select("index", text.useful_words(F.col("title")).alias("tokens"))
-    out = word2vec(rows, "tokens", min_count=5).transform(rows)
+    out = word2vec(rows, "tokens", min_count=5, size=300, window=10, passes=10).transform(rows)
     v = vector_to_array("doc_vec")
     return out.withColumn("v", v).select(
         "index", F.round(F.sqrt(similarity.dot(F.col("v"), F.col("v"))), 6).alias("norm")
@@ -393,7 +397,7 @@ def _(spark, sf_dir):
     rows = labelled_clarity(spark, sf_dir)
     rows = training.assembled(rows, columns, "clarity").select("index", "seg_a", "features", "label")
     train, test = evaluate.split(rows, 0.8)
-    gbt = GBTClassifier(maxDepth=7, stepSize=0.5, maxIter=20, seed=SEED)
+    gbt = GBTClassifier(maxDepth=7, stepSize=0.5, maxIter=100, seed=SEED)
     return evaluate.threshold_sweep(_by_segment(gbt, train, test), ["seg_a"], score="p1")
 
 
@@ -518,7 +522,7 @@ def _(spark, sf_dir):
     rows = rows.select(
         "index", array_to_vector("vec").alias("features"), F.col("clarity").cast("double").alias("label")
     )
-    return _fold_metrics(over_folds(folded(rows, 5), LinearSVC(maxIter=50)))
+    return _fold_metrics(over_folds(folded(rows, 5), LinearSVC()))
 
 
 @query("ml_svc_oversampled")
@@ -527,6 +531,6 @@ def _(spark, sf_dir):
     columns = [c for c in CLARITY_FEATURES if c not in COUNT_COLUMNS + SCORE_COLUMNS]
     rows = labelled_clarity(spark, sf_dir).where(~F.col("seg_a"))
     rows = training.assembled(rows, columns, "clarity").select("index", "features", "label")
-    svc = LinearSVC(maxIter=50)
-    scored = over_folds(folded(rows, 5), svc, prepare=lambda train: evaluate.oversample(train, "label"))
+    svc = LinearSVC()
+    scored = over_folds(folded(rows, 10), svc, prepare=lambda train: evaluate.oversample(train, "label"))
     return _fold_metrics(scored)

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from math import log10
 
 import numpy as np
@@ -45,7 +46,7 @@ SLOTS = (1 << 19, 1 << 20, 1 << 21, 1 << 21)
 WHOLE = 1 << 16
 HEAD = 1 << 16
 #: Distinct words that a task counts before it hands them on, and words learned from at once.
-COUNTED = 1 << 19
+COUNTED = 1 << 18
 CHUNK = 4096
 #: What the adaptive map keeps of its sums for each further chunk.
 FADING = 0.95
@@ -66,16 +67,16 @@ class ClassChooser:
     def __init__(self, counts: dict[str, Counter]):
         self.names = sorted(counts) or ["all"]
         words = sorted({w for c in counts.values() for w, _ in c.most_common(CLASS_WORDS)})
-        self.place = {w: i for i, w in enumerate(words)}
+        self.place = {w: i for i, w in enumerate(words, 1)}  # from 1, so that a place is never false
         table = np.array([[counts[n][w] for n in self.names] for w in words], float).reshape(-1, len(self.names))
         totals = np.array([sum(counts[n].values()) if counts else 0 for n in self.names], float)
-        self.logs = np.log((table + 0.5) / (totals + 0.5 * (len(words) + 1)))
+        logs = np.log((table + 0.5) / (totals + 0.5 * (len(words) + 1)))
+        self.logs = np.vstack([np.zeros((1, len(self.names))), logs])
 
     def __call__(self, words: list[bytes]) -> int:
         if len(self.names) == 1:
             return 0
-        get = self.place.get
-        found = np.array([i for i in map(get, words) if i is not None], np.int64)
+        found = np.fromiter(filter(None, map(self.place.get, words)), np.int64)
         return int(np.argmax(self.logs[found].sum(axis=0))) if len(found) else 0
 
 
@@ -436,8 +437,8 @@ def read_texts(docs: DataFrame, held_out: Column, chooser: ClassChooser, head: p
                     words = raw[bounds[k] : bounds[k + 1]].split()
                     kind = chooser(words)
                     words.append(b"")
-                    at = np.array([place.get(w, none) for w in words], np.int64)
-                    tail = Counter(w for w, i in zip(words, at.tolist()) if i == none)
+                    at = np.fromiter(map(place.get, words, repeat(none)), np.int64, len(words))
+                    tail = Counter([words[i] for i in np.flatnonzero(at == none).tolist()])
                     rows.append((
                         number, kind, int(bounds[k + 1] - bounds[k]), len(words), int(known[at].sum()), float(base[at].sum()),
                         float(logs[at, kind].sum()), [w.decode() for w in tail], list(tail.values()),

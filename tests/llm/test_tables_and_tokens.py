@@ -4,9 +4,11 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from titleq.llm import graph_index, pieces, token_count, url_filter
+from titleq.llm.common import BATCH_BYTES, map_texts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -180,3 +182,23 @@ def test_urls_without_rules(spark):
     got = {r.page_id: r.verdict for r in url_filter.verdicts(df).collect()}
     assert got == {1: "allow", 2: "block", 3: "block"}
     assert url_filter.verdicts(df.limit(0)).count() == 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get(key, None)
+    texts = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) AS text")
+    try:
+        spark.conf.unset(key)
+        got = [r["n"] for r in map_texts(texts, sizes, "n long").collect()]
+        assert sum(got) == 3000 and max(got) * 10_000 < 2 * BATCH_BYTES
+        spark.conf.set(key, "1m")
+        map_texts(texts, sizes, "n long")
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

@@ -42,6 +42,7 @@ from .common import (
     doc_key,
     fits_broadcast,
     list_array,
+    map_texts,
     run_hashes,
     splitmix,
     text_key,
@@ -169,7 +170,7 @@ def _scan(docs: DataFrame, bits) -> DataFrame:
             if rows:
                 yield _packed(batch, rows)
 
-    return docs.select(doc_key().alias("_id"), text_key().alias("_row"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCAN)
+    return map_texts(docs.select(doc_key().alias("_id"), text_key().alias("_row"), F.col("text").cast("string").alias("text")), run, _SCAN)
 
 
 def _packed(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
@@ -214,11 +215,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _judged(docs: DataFrame) -> DataFrame:
     """(_id, _row, n_words, n_removed, kept, kept_sha256); kept is null where nothing is removed."""
     spark = docs.sparkSession
-    anchors = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_anchor_rows, "anchor long, class long")
+    anchors = map_texts(docs.select(F.col("text").cast("string").alias("text")), _anchor_rows, "anchor long, class long")
     shared = anchors.groupBy("anchor").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
     shared = written(shared.select("anchor"), "shared_anchors")
-    size = LEAST_BITS
-    while size < MOST_BITS and size < 16 * shared.count():
+    size, n_shared = LEAST_BITS, shared.count()
+    while size < MOST_BITS and size < 16 * n_shared:
         size *= 2
     bits = spark.sparkContext.broadcast(_filter(shared, size))
     scan = written(_scan(docs, bits), "windows")
@@ -240,12 +241,12 @@ def _judged(docs: DataFrame) -> DataFrame:
     spans = removed.unionByName(copies).groupBy("_id", "_row").agg(
         F.collect_set("starts").alias("removed"), F.max("copy").alias("copy")
     )
-    return (
+    judged = (
         scan.select("_id", "_row", "n_words", "sha", "text")
         .join(spans, ["_id", "_row"], "left")
         .select("_id", "_row", "n_words", "sha", "copy", "removed", F.when(F.size("removed") > 0, F.col("text")).alias("text"))
-        .mapInArrow(_kept, "_id long, _row long, n_words long, n_removed long, kept string, kept_sha256 string")
     )
+    return map_texts(judged, _kept, "_id long, _row long, n_words long, n_removed long, kept string, kept_sha256 string")
 
 
 def removals(docs: DataFrame) -> DataFrame:

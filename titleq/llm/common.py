@@ -7,13 +7,14 @@ joined; it is null again in results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import written  # noqa: F401
 
@@ -48,6 +49,22 @@ def fits_broadcast(rows: int, row_bytes: int, limit: int = 64 << 20) -> bool:
     return rows * row_bytes <= limit
 
 
+#: Bytes of one Arrow batch sent to a Python worker, or one longer row.
+BATCH_BYTES = 4 << 20
+
+
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over rows that hold texts, in batches bounded by bytes.
+
+    Without a bound by bytes, a batch is 10,000 rows of any length, held at once by the executor and
+    by its worker. A bound that the session has already is kept; else it is set for the session.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 # --- bytes and words inside tasks -------------------------------------------------------------
 
 #: Bytes that separate words: blank, tab, line feed, vertical tab, form feed, carriage return.

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MISSING_ID, as_signed, back_to_null, byte_slices, doc_key, word_bounds, written
+from .common import MISSING_ID, as_signed, back_to_null, byte_slices, doc_key, map_texts, word_bounds, written
 from .components import components
 
 SHINGLE = 4
@@ -77,7 +77,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fps = pa.array(as_signed(np.array(out, np.uint64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_texts(texts, run, "doc_id long, fp long")
 
 
 # --- the code -----------------------------------------------------------------------------------

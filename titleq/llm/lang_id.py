@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, doc_key, splitmix, written
+from .common import SLICE_BYTES, doc_key, map_texts, splitmix, written
 
 FIT_ROWS = 4000
 #: Hashed grams of each order share one table of this many cells.
@@ -120,7 +120,8 @@ def _count(texts: DataFrame) -> DataFrame:
                 [pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])], names=["lang", "cell", "n"]
             )
 
-    return texts.select("lang", "text").mapInArrow(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    counts = map_texts(texts.select("lang", "text"), run, "lang string, cell long, n long")
+    return counts.groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
 def margins(text: str, weights: np.ndarray) -> np.ndarray:
@@ -179,7 +180,8 @@ def _trust(texts: DataFrame, languages: list[str], codes: np.ndarray, weights: n
             [pa.array(i), pa.array(bit), pa.array(right.ravel()), pa.array(rows[i])], names=["i", "bit", "right", "n"]
         )
 
-    sums = texts.select("lang", "text").mapInArrow(run, "i long, bit long, right long, n long").groupBy("i", "bit").agg(
+    tallies = map_texts(texts.select("lang", "text"), run, "i long, bit long, right long, n long")
+    sums = tallies.groupBy("i", "bit").agg(
         ((F.sum("right") + 1) / (F.sum("n") + 2)).alias("rate")
     )
     out = np.ones(codes.shape)
@@ -216,7 +218,7 @@ def predict(docs: DataFrame, model: LanguageModel, *columns: str) -> DataFrame:
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "lang_pred string, score double, ambiguous boolean"])
-    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return map_texts(docs.select(*columns, F.col("text").cast("string").alias("_text")), run, schema)
 
 
 def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -233,4 +235,4 @@ def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
             keep = [decide(x.as_py(), sent.value)[0] != UNKNOWN for x in batch.column(place)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

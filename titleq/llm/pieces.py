@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, list_array
+from .common import byte_slices, list_array, map_texts
 
 MARK = "▁"
 #: Runs of markers with what follows, or what stands before the first.
@@ -279,6 +279,7 @@ def encoded(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
                 arrays = [batch.column(0).slice(first, last - first), list_array(pa.array(ids), counts), pa.array(counts), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, n_tokens long, round_trip boolean"
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return map_texts(
+        texts, run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, n_tokens long, round_trip boolean"
     )

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, list_array, remainder, written
+from .common import byte_slices, list_array, map_texts, remainder, written
 
 FIT_ROWS = 60_000
 FOURIER = 256
@@ -91,7 +91,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), stats], names=["doc_id", "stats"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, stats array<double>")
+    return map_texts(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, stats array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -280,6 +280,38 @@ def test_mixed_probabilities_add_to_one():
     assert one.bits.shape == (2, 8) and np.exp(first) < 1 and np.exp(logs(singles)).sum() < 1
 
 
+def test_every_training_word_counts_in_whole_word_contexts(spark, monkeypatch):
+    """Rare words too, and over the edges of blocks: as a loop over all words counts them."""
+    monkeypatch.setattr(mixing, "CHUNK", 32)
+    rng = random.Random(8)
+    counts = {(w, k): rng.choice([0, 1, 1, 1, 7]) for w in {"".join(rng.choices("abcé", k=rng.randint(0, 6))) for _ in range(900)} for k in (0, 1) if rng.random() < 0.7}
+    want = collections.Counter()
+    for (w, k), n in counts.items():
+        data = w.encode() + b" "
+        for i, byte in enumerate(data):
+            for step in range(8):
+                want[k, data[:i], step, byte >> (8 - step), byte >> (7 - step) & 1] += n
+    rows = [(w, [(k, counts[w, k]) for k in (0, 1) if (w, k) in counts]) for w in {w for w, _ in counts}]
+    table = [(w, sum(n for _, n in own), 9, [k for k, _ in own], [n for _, n in own]) for w, own in rows]
+    df = spark.createDataFrame(table, "token string, c long, n long, classes array<int>, counts array<long>").repartition(5)
+    blocks, slots = mixing.with_shared(mixing.word_blocks(df))
+    batches = blocks.toArrow().combine_chunks().to_batches()
+    checked = 0
+    for r in (r for b in batches for r in mixing._rows(b)):
+        own, _, (zeros, ones), kind, row = mixing._read_block(r, slots)
+        words = r["tokens"].to_pylist()
+        place = np.cumsum(own.counts) - own.counts
+        for e, (w, k) in enumerate(zip((words[i] for i in row), kind)):
+            data = w.encode() + b" "
+            for j in range(own.counts[e]):
+                i = own.shared[e] + j
+                for step in range(8):
+                    node = (int(k), data[:i], step, data[i] >> (8 - step))
+                    assert (zeros[place[e] + j, step], ones[place[e] + j, step]) == (want[(*node, 0)], want[(*node, 1)])
+                    checked += 1
+    assert blocks.count() > 10 and checked > 10_000
+
+
 def test_empty_tables(spark, make):
     empty = make([])
     benchmark = spark.createDataFrame([], "item_id long, text string")

@@ -11,9 +11,12 @@ All contexts belong to the text's class. Classes are the languages of a bounded
 texts; a text is scored in the class that its frequent words fit best, which costs the logarithm of
 the number of classes. So a score never exceeds what a mixture of the classes would give.
 
-Training, over all training texts: words are counted per class by Spark, grouped, and kept in sorted
-order; contexts are summed from distinct words, in tables of fixed size (the whole-word context from
-the ``WHOLE`` most frequent words). The mixer learns online in each task, chunk by chunk by
+Training, over all training texts: words are counted per class by Spark, grouped, and kept in blocks
+of sorted words. The whole-word context counts every training word exactly: words that share a
+prefix are neighbours, so a block sums its own, and prefixes of its first and last words, the only
+ones that other blocks can share, are summed over blocks by Spark. The contexts of one to three bytes
+are summed in hashed tables with at least twice as many slots as there are distinct contexts, by a
+count from a 64th of the hashes. The mixer learns online in each task, chunk by chunk by
 steps scaled with the curvature so far, over the bits of all distinct words weighted by their counts,
 with the occurrence itself left out of its contexts; tasks' weights are averaged and maps summed. A word's probability in its class depends on nothing but
 the word, so it is computed once per distinct word. Frequent words (``HEAD``) are sent to the tasks
@@ -37,22 +40,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, byte_slices, list_array, run_hashes, splitmix, written
+from .common import BYTE_CODE, byte_slices, list_array, map_texts, run_hashes, splitmix, written
 
 #: Texts per class, words per class and classes (the most frequent) of the class chooser.
 CLASS_ROWS, CLASS_WORDS, CLASSES = 2000, 2000, 16
-#: Slots of the contexts' tables: one, two, three bytes, the whole word.
-SLOTS = (1 << 19, 1 << 20, 1 << 21, 1 << 21)
-WHOLE = 1 << 16
+#: Least slots of the tables of the contexts of one, two and three bytes.
+SLOTS = (1 << 19, 1 << 20, 1 << 21)
 HEAD = 1 << 16
-#: Distinct words that a task counts before it hands them on, and words learned from at once.
+#: Distinct words that a task counts before it hands them on, and entries of a block, learned from at once.
 COUNTED = 1 << 18
 CHUNK = 4096
 #: What the adaptive map keeps of its sums for each further chunk.
 FADING = 0.95
 GATES = 6 * 4 * 3
 LEVELS = 33
-INPUTS = len(SLOTS) + 1
+INPUTS = len(SLOTS) + 2
 PREFIX_BASE = 0x8CB92BA72F3D8DD7
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 LEAST = 2.0**-18
@@ -160,7 +162,7 @@ class Words:
     computed once.
     """
 
-    def __init__(self, tokens: list[bytes], kind: np.ndarray):
+    def __init__(self, tokens: list[bytes], kind: np.ndarray, slots: tuple[int, ...] = SLOTS):
         self.n = len(tokens)
         data = b" ".join(tokens) + b" "
         byte = np.frombuffer(data, np.uint8)
@@ -188,13 +190,16 @@ class Words:
             rolled = rolled * np.uint64(257) + previous
             hashes.append(splitmix(rolled[own] * GOLD + np.uint64(back)) ^ tag[own])
         flat = np.flatnonzero(own)
-        hashes.append(run_hashes(BYTE_CODE[byte], starts[self.word], flat, PREFIX_BASE) ^ tag[own])
+        self.prefix = run_hashes(BYTE_CODE[byte], starts[self.word], flat, PREFIX_BASE) ^ tag[own]
         value = byte[own].astype(np.int64)[:, None]
         step = np.arange(8)
         node = (1 << step | value >> (8 - step)).astype(np.uint64)
         self.bits = (value >> (7 - step) & 1).astype(bool)
         self.node = node.astype(np.int64)
-        self.slots = [(splitmix(h[:, None] + node * GOLD) & np.uint64(s - 1)).astype(np.int64) for h, s in zip(hashes, SLOTS)]
+        self.whole = splitmix(self.prefix[:, None] + node * GOLD)
+        self.keys = [splitmix(h[:, None] + node * GOLD) for h in hashes]
+        firsts = np.cumsum([0, *slots])
+        self.slots = [(k & np.uint64(s - 1)).astype(np.int64) + a for k, s, a in zip(self.keys, slots, firsts)]
 
     def weights(self, counts: np.ndarray) -> np.ndarray:
         """For each computed byte, the counts of all entries that share it."""
@@ -225,30 +230,25 @@ class Words:
         return out
 
 
-def _entries(batch: pa.RecordBatch, learned_only: bool) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(words, classes, training counts, rows) of a batch (token, classes, counts), by class and word."""
-    sizes = np.diff(batch.column(1).offsets.to_numpy())
-    row = np.repeat(np.arange(batch.num_rows), sizes)
-    kind = batch.column(1).flatten().to_numpy().astype(np.int64)
-    count = batch.column(2).flatten().to_numpy()
-    tokens = np.array(batch.column(0).cast(pa.binary()).to_pylist(), object)
-    rank = np.empty(len(tokens), np.int64)
-    rank[np.argsort(tokens, kind="stable")] = np.arange(len(tokens))
-    if learned_only:
-        keep = count > 0
-        row, kind, count = row[keep], kind[keep], count[keep]
-    order = np.lexsort((rank[row], kind))
+def _entries(tokens: pa.Array, classes: pa.Array, counts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(words, classes, training counts, rows) of a block's words, by class and word."""
+    sizes = np.diff(classes.offsets.to_numpy())
+    row = np.repeat(np.arange(len(tokens)), sizes)
+    kind = classes.flatten().to_numpy().astype(np.int64)
+    order = np.lexsort((row, kind))
     row = row[order]
-    return tokens[row].tolist(), kind[order], count[order], row
+    words = np.array(tokens.cast(pa.binary()).to_pylist(), object)
+    return words[row].tolist(), kind[order], counts.flatten().to_numpy()[order], row
 
 
-def _pieces(words: list[bytes], size: int) -> Iterator[slice]:
-    """Slices of at most ``size`` words and about 32 bytes for each, or one long word."""
+def _pieces(words: list[bytes], classes: list[int], size: int) -> Iterator[slice]:
+    """Slices of about ``size`` entries (words times their classes) and 32 bytes for each, or one long word."""
     i = 0
     while i < len(words):
-        j, weight = i, 0
-        while j < len(words) and j - i < size and weight <= 32 * size:
-            weight += len(words[j])
+        j, entries, weight = i, 0, 0
+        while j < len(words) and entries < size and weight <= 32 * size:
+            entries += classes[j]
+            weight += len(words[j]) * classes[j]
             j += 1
         yield slice(i, j)
         i = j
@@ -259,38 +259,143 @@ def _pieces(words: list[bytes], size: int) -> Iterator[slice]:
 SPLITS = np.cumsum([0, *SLOTS])
 
 
-def context_tables(words: DataFrame, least: int) -> np.ndarray:
-    """(2, all slots): how often a 0 and a 1 followed each context.
+def word_blocks(words: DataFrame) -> DataFrame:
+    """(block, tokens, c, n, classes, counts): runs of sorted words with about ``CHUNK`` entries, as arrays."""
 
-    Whole-word contexts come from words seen at least ``least`` times. Tasks sum first; a shuffle
-    sums per slot, and there are at most as many slots as the tables hold.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            classes = np.diff(batch.column(3).offsets.to_numpy()).tolist()
+            for cut in _pieces(batch.column(0).cast(pa.binary()).to_pylist(), classes, CHUNK):
+                part = batch.slice(cut.start, cut.stop - cut.start)
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), c) for c in part.columns]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists], names=["block", "tokens", "c", "n", "classes", "counts"])
+                block += 1
+
+    by_word = words.select("token", "c", "n", "classes", "counts").repartitionByRange("token").sortWithinPartitions("token")
+    return map_texts(
+        by_word, run, "block long, tokens array<string>, c array<long>, n array<long>, classes array<array<int>>, counts array<array<long>>"
+    )
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Array]]:
+    """Each block of a batch: its arrays by name."""
+    for i in range(batch.num_rows):
+        yield {n: getattr(c[i], "values", c[i]) for n, c in zip(batch.schema.names, batch.columns)}
+
+
+#: One in so many hashes of contexts is counted to size their tables.
+SAMPLED = 64
+
+
+def _found_contexts(blocks: DataFrame) -> DataFrame:
+    """(order, block, key, zeros, ones): sampled keys of short contexts (order 0 to 2), and (order 3)
+    a block's sums of the whole-word contexts that are prefixes of its first or last word of a class.
+
+    Blocks are runs of sorted words, so no other prefix occurs in two blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, int(SPLITS[-1])))
         for batch in batches:
-            tokens, kind, count, _ = _entries(batch, True)
-            for cut in _pieces(tokens, CHUNK):
-                own = Words(tokens[cut], kind[cut])
-                weight = own.weights(count[cut])
-                often = own.weights(np.where(count[cut] >= least, count[cut], 0))
-                for k, slots in enumerate(own.slots):
-                    w = np.broadcast_to((often if k == 3 else weight)[:, None], slots.shape)
+            for r in _rows(batch):
+                tokens, kind, count, _ = _entries(r["tokens"], r["classes"], r["counts"])
+                own = Words(tokens, kind)
+                ends = np.flatnonzero(np.diff(kind, prepend=-1, append=-1))
+                ends = np.unique(np.concatenate([ends[:-1], ends[1:] - 1]))
+                edge = np.isin(own.prefix, Words([tokens[i] for i in ends], kind[ends]).prefix)
+                keys, tally, _ = _tally(own.whole[edge], own.bits[edge], own.weights(count)[edge])
+                parts = [(3, keys, tally[0], tally[1])]
+                for k, all_ in enumerate(own.keys):
+                    some = np.unique(all_[all_ >> np.uint64(32) & np.uint64(SAMPLED - 1) == 0])
+                    parts.append((k, some, np.zeros(len(some)), np.zeros(len(some))))
+                for k, keys, zeros, ones in parts:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(keys), k, np.int32)), pa.array(np.full(len(keys), r["block"].as_py())),
+                            pa.array(keys.view(np.int64)), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)),
+                        ],
+                        names=["order", "block", "key", "zeros", "ones"],
+                    )
+
+    return map_texts(
+        blocks.select("block", "tokens", "classes", "counts"), run, "order int, block long, key long, zeros long, ones long"
+    )
+
+
+def _tally(keys: np.ndarray, bits: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, weight of their 0 and 1 bits, place of each bit's key among them)."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    at = at.reshape(keys.shape)
+    mass = np.broadcast_to(weight[:, None], keys.shape)
+    tally = np.array([np.bincount(at[bits == bit], mass[bits == bit], len(distinct)) for bit in (False, True)])
+    return distinct, tally, at
+
+
+def with_shared(blocks: DataFrame) -> tuple[DataFrame, tuple[int, ...]]:
+    """(blocks with the sums of the contexts that they share with others, slots of the tables)."""
+    found = written(_found_contexts(blocks), "word_contexts")
+    counted = found.where("order < 3").groupBy("order").agg(F.count_distinct("key").alias("n")).collect()
+    slots = list(SLOTS)
+    for r in counted:
+        while slots[r["order"]] < 2 * SAMPLED * r["n"]:
+            slots[r["order"]] *= 2
+    sums = found.where("order = 3").groupBy("key").agg(
+        F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.collect_list("block").alias("blocks")
+    )
+    shared = sums.where(F.size("blocks") > 1).select("key", "zeros", "ones", F.explode("blocks").alias("block"))
+    lists = shared.groupBy("block").agg(F.collect_list(F.struct("key", "zeros", "ones")).alias("s"))
+    out = blocks.join(lists, "block", "left").select(
+        *blocks.columns, *[F.coalesce(F.col(f"s.{c}"), F.array().cast("array<long>")).alias(c) for c in ("key", "zeros", "ones")]
+    )
+    return written(out, "word_blocks_shared"), tuple(slots)
+
+
+def whole_counts(own: Words, count: np.ndarray, shared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """How often a 0 and a 1 followed the whole-word context of each bit, over all training words."""
+    distinct, tally, at = _tally(own.whole, own.bits, own.weights(count))
+    keys, zeros, ones = shared
+    tally[:, np.searchsorted(distinct, keys.view(np.uint64))] = zeros, ones
+    return tally[0][at], tally[1][at]
+
+
+def _read_block(r: dict[str, pa.Array], slots: tuple[int, ...]) -> tuple[Words, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """(words, training counts, whole-word counts, classes, rows) of a block."""
+    tokens, kind, count, row = _entries(r["tokens"], r["classes"], r["counts"])
+    own = Words(tokens, kind, slots)
+    shared = tuple(r[n].to_numpy() for n in ("key", "zeros", "ones"))
+    return own, count, whole_counts(own, count, shared), kind, row
+
+
+def context_tables(blocks: DataFrame, sizes: tuple[int, ...]) -> np.ndarray:
+    """(2, all slots): how often a 0 and a 1 followed each context of one to three bytes.
+
+    Tasks sum first; a shuffle sums per slot, and there are at most as many slots as the tables hold.
+    """
+    whole = sum(sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((2, whole))
+        for batch in batches:
+            for r in _rows(batch):
+                tokens, kind, count, _ = _entries(r["tokens"], r["classes"], r["counts"])
+                own = Words(tokens, kind, sizes)
+                weight = own.weights(count)
+                for slots in own.slots:
+                    w = np.broadcast_to(weight[:, None], slots.shape)
                     for bit in (0, 1):
                         chosen = own.bits == bit
-                        np.add.at(table[bit], slots[chosen] + SPLITS[k], w[chosen])
+                        np.add.at(table[bit], slots[chosen], w[chosen])
         at = np.flatnonzero(table.any(axis=0))
         for i in range(0, len(at), 1 << 18):
             part = at[i : i + (1 << 18)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(table[0, part].astype(np.int64)), pa.array(table[1, part].astype(np.int64))],
+                [pa.array(part), pa.array(table[0, part].astype(np.int64)), pa.array(table[1, part].astype(np.int64))],
                 names=["slot", "zeros", "ones"],
             )
 
-    got = words.where("c > 0").select("token", "classes", "counts").mapInArrow(run, "slot int, zeros long, ones long").groupBy("slot").agg(
-        F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones")
-    ).toArrow()
-    out = np.zeros((2, int(SPLITS[-1])), np.float32)
+    summed = map_texts(blocks.select("tokens", "classes", "counts"), run, "slot long, zeros long, ones long")
+    got = summed.groupBy("slot").agg(F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones")).toArrow()
+    out = np.zeros((2, whole), np.float32)
     slot = got.column("slot").to_numpy()
     out[0, slot], out[1, slot] = got.column("zeros").to_numpy(), got.column("ones").to_numpy()
     return out
@@ -300,13 +405,18 @@ def _bucket(n: np.ndarray, edges: tuple[int, ...]) -> np.ndarray:
     return np.searchsorted(np.array(edges, np.float32), n.ravel(), "right").reshape(n.shape)
 
 
-def inputs(words: Words, tables: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(inputs of the mixer, gate) of each bit; ``leave_out`` takes one occurrence from its contexts."""
+def inputs(
+    words: Words, tables: np.ndarray, leave_out: bool, whole: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs of the mixer, gate) of each bit; ``leave_out`` takes one occurrence from its contexts.
+
+    ``whole`` are the counts of the whole-word contexts; without it, none was seen.
+    """
     shape = words.bits.shape
     x = np.empty((INPUTS, *shape), np.float32)
     seen = []
-    for k, slots in enumerate(words.slots):
-        zeros, ones = tables[0][slots + SPLITS[k]], tables[1][slots + SPLITS[k]]
+    none = np.zeros(shape, np.float32)
+    for k, (zeros, ones) in enumerate([*((tables[0][s], tables[1][s]) for s in words.slots), whole or (none, none)]):
         if leave_out:
             ones = np.maximum(ones - words.bits, 0)
             zeros = np.maximum(zeros - ~words.bits, 0)
@@ -333,7 +443,7 @@ def refined(odds: np.ndarray, gate: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return np.clip((p + (ones + 50 * p) / (zeros + ones + 50)) / 2, LEAST, 1 - LEAST)
 
 
-def learn_mixer(words: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
+def learn_mixer(blocks: DataFrame, tables, slots: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """(weights of each gate, adaptive map): online in each task, then averaged and summed.
 
     The map, (2, gates, levels), holds what followed at each level of the task's own mixer.
@@ -345,12 +455,11 @@ def learn_mixer(words: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
         seen = np.zeros((2, GATES, LEVELS))
         known = np.zeros(GATES)
         for batch in batches:
-            tokens, kind, count, _ = _entries(batch, True)
-            for cut in _pieces(tokens, CHUNK):
-                own = Words(tokens[cut], kind[cut])
-                x, gate = inputs(own, tables.value, True)
+            for r in _rows(batch):
+                own, count, whole, _, _ = _read_block(r, slots)
+                x, gate = inputs(own, tables.value, True, whole)
                 odds = mixed(x, gate, weights)
-                mass = np.broadcast_to(own.weights(count[cut])[:, None], gate.shape).ravel().astype(float)
+                mass = np.broadcast_to(own.weights(count)[:, None], gate.shape).ravel().astype(float)
                 flat, bits, x = gate.ravel(), own.bits.ravel(), x.reshape(INPUTS, -1)
                 seen *= FADING
                 for bit in (0, 1):
@@ -369,8 +478,8 @@ def learn_mixer(words: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
 
     weights, known, seen = np.zeros((GATES, INPUTS)), np.zeros(GATES), np.zeros((2, GATES, LEVELS))
     # One state of 50 kB for each task; at most 256 tasks read the distinct words.
-    read = words.where("c > 0").select("token", "classes", "counts").coalesce(256)
-    for r in read.mapInArrow(run, "state binary").toLocalIterator():
+    read = blocks.select("tokens", "classes", "counts", "key", "zeros", "ones").coalesce(256)
+    for r in map_texts(read, run, "state binary").toLocalIterator():
         state = np.frombuffer(r["state"])
         own = state[GATES * INPUTS : GATES * INPUTS + GATES]
         weights += state[: GATES * INPUTS].reshape(GATES, INPUTS) * own[:, None]
@@ -379,30 +488,26 @@ def learn_mixer(words: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
     return np.where(known[:, None] > 0, weights / np.maximum(known, 1)[:, None], 0.25), seen
 
 
-def score_words(words: DataFrame, tables, weights: np.ndarray, seen: np.ndarray) -> DataFrame:
+def score_words(blocks: DataFrame, tables, slots: tuple[int, ...], weights: np.ndarray, seen: np.ndarray) -> DataFrame:
     """(token, c, n, classes, logs): log10 probability of each token in each of its classes."""
-    sent = words.sparkSession.sparkContext.broadcast((weights, seen))
+    sent = blocks.sparkSession.sparkContext.broadcast((weights, seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, seen = sent.value
         for batch in batches:
-            tokens, kind, _, row = _entries(batch, False)
-            logs = np.zeros(len(tokens))
-            for cut in _pieces(tokens, CHUNK):
-                own = Words(tokens[cut], kind[cut])
-                x, gate = inputs(own, tables.value, False)
+            for r in _rows(batch):
+                own, _, whole, kind, row = _read_block(r, slots)
+                x, gate = inputs(own, tables.value, False, whole)
                 p = refined(mixed(x, gate, weights), gate, seen)
-                cost = np.log10(np.where(own.bits, p, 1 - p)).sum(axis=1)
-                logs[cut] = own.totals(cost)
-            order = np.lexsort((kind, row))
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            lists = list_array(pa.array(logs[order]), sizes), list_array(pa.array(kind[order].astype(np.int32)), sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(3), batch.column(4), lists[1], lists[0]], names=["token", "c", "n", "classes", "logs"]
-            )
-
-    return words.select("token", "classes", "counts", "c", "n").mapInArrow(
-        run, "token string, c long, n long, classes array<int>, logs array<double>"
+                logs = own.totals(np.log10(np.where(own.bits, p, 1 - p)).sum(axis=1))
+                order = np.lexsort((kind, row))
+                sizes = np.diff(r["classes"].offsets.to_numpy())
+                lists = list_array(pa.array(kind[order].astype(np.int32)), sizes), list_array(pa.array(logs[order]), sizes)
+                yield pa.RecordBatch.from_arrays([r["tokens"], r["c"], r["n"], *lists], names=["token", "c", "n", "classes", "logs"])
+
+    return map_texts(
+        blocks.select("tokens", "c", "n", "classes", "counts", "key", "zeros", "ones"), run,
+        "token string, c long, n long, classes array<int>, logs array<double>",
     )
 
 
@@ -468,12 +573,12 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     spark = docs.sparkSession
     chooser = choose_classes(docs, ~held_out)
     counted = count_words(docs, ~held_out, chooser)
-    words = written(counted.repartitionByRange("token").sortWithinPartitions("token"), "word_counts")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    often = [r["c"] for r in words.where("c > 0").orderBy(F.desc("c")).limit(WHOLE).select("c").collect()]
-    tables = spark.sparkContext.broadcast(context_tables(words, often[-1] if often else 1))
-    weights, seen = learn_mixer(words, tables)
-    logs = written(score_words(words, tables, weights, seen), "word_scores")
+    blocks = written(word_blocks(counted), "word_blocks")
+    total, distinct = blocks.select(F.explode("c").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    blocks, slots = with_shared(blocks)
+    tables = spark.sparkContext.broadcast(context_tables(blocks, slots))
+    weights, seen = learn_mixer(blocks, tables, slots)
+    logs = written(score_words(blocks, tables, slots, weights, seen), "word_scores")
 
     head = logs.orderBy(F.desc("n"), "token").limit(HEAD).select("token", "c", "classes", "logs").toArrow()
     read = written(read_texts(docs, held_out, chooser, head), "text_sums")

@@ -177,6 +177,24 @@ def test_url_likelihood_equals_loops():
         assert value == pytest.approx(np.log(p).sum())
 
 
+def test_url_contexts_are_counted_exactly(spark):
+    """More distinct contexts than ``CELLS``: each has its own count, and unseen ones have none."""
+    rng = np.random.default_rng(3)
+    urls = ["http://" + "".join(rng.choice(list("abcdefghij/"), 30)) for _ in range(4000)]
+    rows = [(u, i % 3 == 0, int(i % 5 == 0)) for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "url string, accepted boolean, side int")
+    _, (places, tables) = url_filter._models(df)
+    want = [collections.Counter(), collections.Counter()]
+    for u, accepted, _ in rows:
+        want[accepted].update(("^" * 5 + u)[i : i + 6] for i in range(len(u)))
+    assert len(want[0]) > 2 * url_filter.CELLS
+    unseen = "http://zzzzzz"
+    for u in [*urls[:200], unseen]:
+        (_, seen), = list(url_filter.contexts(np.frombuffer(u.encode(), np.uint8), np.array([0, len(u)]), places))[-1:]
+        for kind in (0, 1):
+            assert tables[kind][-1][1][seen].tolist() == [want[kind][("^" * 5 + u)[i : i + 6]] for i in range(len(u))]
+
+
 def test_urls_without_rules(spark):
     df = spark.createDataFrame([(1, "http://a.b/c"), (2, None), (3, "")], "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter.verdicts(df).collect()}

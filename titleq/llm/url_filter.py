@@ -3,8 +3,9 @@
 Rules judge the URLs that they fit. The URLs allowed and those blocked by a rule train two
 variable-order Markov models over bytes: the probability of a byte after its last ``ORDER`` bytes is
 smoothed with that after one byte less, down to the uniform one, each context weighing as much as it
-has been seen. Contexts are hashed into tables of fixed size, so models have one size whatever the
-data. A URL that no rule fits is judged by the difference of its log-likelihoods per byte against a
+has been seen. Sightings are counted exactly by Spark, by 64-bit hashes of contexts; models are sent to the
+tasks as open hash tables that keep the hashes, at most half full, and grow with the distinct contexts.
+A URL that no rule fits is judged by the difference of its log-likelihoods per byte against a
 threshold: where the error shares of both classes are equal on a fifth of the ruled URLs that a
 first pair of models has not seen. The final pair is trained on all of them.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, splitmix, written
+from .common import byte_slices, map_texts, splitmix, written
 
 #: (verdict, host, path): fixed values of the task.
 RULES = [
@@ -40,6 +41,8 @@ PRIOR = 4.0
 BINS = 2048
 SPAN = 8.0
 FOLDS = 5
+#: Distinct contexts of one order that a task holds before it hands them on.
+HELD = 1 << 18
 
 
 def host(url: Column) -> Column:
@@ -61,8 +64,42 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return name, verdict
 
 
-def contexts(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order from 0: (cell of the context, cell of context and byte) at every byte.
+class Places:
+    """Numbers distinct 64-bit hashes from 0; a hash that is not among them has the number after the last."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.number = np.full(1 << self.bits, len(keys), np.int32)
+        self.none = len(keys)
+        left, cell = np.arange(len(keys)), self._first(keys)
+        while len(left):
+            free = self.number[cell] == self.none
+            at, one = np.unique(cell[free], return_index=True)
+            one = np.flatnonzero(free)[one]
+            self.keys[at], self.number[at] = keys[left[one]], left[one]
+            rest = np.ones(len(left), bool)
+            rest[one] = False
+            left, cell = left[rest], (cell[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        cell = self._first(keys)
+        out = self.number[cell]
+        left = np.flatnonzero((out != self.none) & (self.keys[cell] != keys))
+        cell = cell[left]
+        while len(left):
+            cell = (cell + 1) & ((1 << self.bits) - 1)
+            out[left] = self.number[cell]
+            on = (out[left] != self.none) & (self.keys[cell] != keys[left])
+            left, cell = left[on], cell[on]
+        return out
+
+
+def hashes(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 0: (hash of the context, hash of context and byte) at every byte.
 
     Where fewer bytes stand before a byte in its row, they and the row's start are the context.
     """
@@ -76,57 +113,104 @@ def contexts(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray,
             previous[at < order] = 0
             rolled = rolled * np.uint64(0x100000001B3) + previous + np.uint64(1)
         context = splitmix(rolled)
-        yield (context & np.uint64(CELLS - 1)).astype(np.int64), (splitmix(context + byte) & np.uint64(CELLS - 1)).astype(np.int64)
+        yield context, splitmix(context + byte)
 
 
-def log_likelihoods(data: np.ndarray, bounds: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each row; ``tables`` is (orders, 2, cells): contexts, sightings."""
+def contexts(data: np.ndarray, bounds: np.ndarray, places: list[tuple[Places, Places]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order: (number of the context, number of context and byte) at every byte.
+
+    ``places`` number the hashes of each order; without them, numbers are hashes modulo ``CELLS``.
+    """
+    for order, found in enumerate(hashes(data, bounds)):
+        if places is None:
+            yield tuple((h & np.uint64(CELLS - 1)).astype(np.int64) for h in found)
+        else:
+            yield tuple(p(h) for p, h in zip(places[order], found))
+
+
+def log_likelihoods(data: np.ndarray, bounds: np.ndarray, tables, numbers: list | None = None) -> np.ndarray:
+    """Natural log-probability of each row; ``tables`` has for each order the counts of contexts and of sightings.
+
+    ``numbers`` are those of ``contexts``.
+    """
     p = np.full(len(data), 1 / 256)
-    for (context, seen), (all_, own) in zip(contexts(data, bounds), tables):
+    for (context, seen), (all_, own) in zip(numbers or contexts(data, bounds), tables):
         p = (np.minimum(own[seen], all_[context]) + PRIOR * p) / (all_[context] + PRIOR)
     sums = np.concatenate([[0.0], np.cumsum(np.log(p))])
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def difference(data: np.ndarray, bounds: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Log-likelihood of accepted less that of rejected, per byte; ``tables`` is (2, orders, 2, cells)."""
+#: (places of each order, for each class and order the counts of contexts and of sightings)
+Models = tuple[list[tuple[Places, Places]], list[list[tuple[np.ndarray, np.ndarray]]]]
+
+
+def difference(data: np.ndarray, bounds: np.ndarray, models: Models) -> np.ndarray:
+    """Log-likelihood of accepted less that of rejected, per byte."""
+    places, (rejected, accepted) = models
+    numbers = list(contexts(data, bounds, places))
     sizes = np.maximum(np.diff(bounds), 1)
-    return (log_likelihoods(data, bounds, tables[1]) - log_likelihoods(data, bounds, tables[0])) / sizes
+    return (log_likelihoods(data, bounds, accepted, numbers) - log_likelihoods(data, bounds, rejected, numbers)) / sizes
+
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their sums, (groups, keys)."""
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    every = np.concatenate(counts, axis=1)
+    return distinct, np.array([np.bincount(at, c, len(distinct)) for c in every]).astype(np.int64)
 
-def _tables(ruled: DataFrame) -> np.ndarray:
-    """Counts of (class, order, context or sighting, cell) over all rows (url, accepted, fold).
 
-    Tasks sum first, and cells are summed by a shuffle; there are at most as many as the tables hold.
-    Axis 0 is the fold's side: counts without the first fold, and counts of the first fold.
+def count_contexts(ruled: DataFrame) -> DataFrame:
+    """(part, key, n0, n1, n2, n3): exact counts of each context and sighting over all rows (url, accepted, side).
+
+    ``part`` is twice the order, and one more for sightings; n0 to n3 count rejected and accepted URLs
+    of side 0, then those of side 1. Tasks sum first, a shuffle sums per key.
     """
-    shape = (2, 2, ORDER + 1, 2, CELLS)
+
+    def rows(part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        names = ["part", "key", "n0", "n1", "n2", "n3"]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part, np.int32)), pa.array(keys.view(np.int64)), *map(pa.array, counts)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(shape, np.int64)
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             side = batch.column(2).to_numpy()
             accepted = batch.column(1).to_numpy(zero_copy_only=False).astype(int)
             for first, last, data, bounds in byte_slices(batch.column(0)):
                 group = np.repeat(2 * side[first:last] + accepted[first:last], np.diff(bounds))
-                for order, (context, seen) in enumerate(contexts(data, bounds)):
-                    for g in np.unique(group):
-                        cells = own[g // 2, g % 2, order]
-                        cells[0] += np.bincount(context[group == g], minlength=CELLS)
-                        cells[1] += np.bincount(seen[group == g], minlength=CELLS)
-        flat = own.ravel()
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["cell", "n"])
-
-    got = ruled.select("url", "accepted", "side").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(int(np.prod(shape)))
-    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(shape)
-
-
-def _threshold(ruled: DataFrame, tables: np.ndarray) -> float:
+                ones = (group == np.arange(4)[:, None]).astype(np.int64)
+                for order, pair in enumerate(hashes(data, bounds)):
+                    for part, found in enumerate(pair, 2 * order):
+                        keys, counts = _summed([found], [ones])
+                        if part in held:
+                            keys, counts = _summed([held[part][0], keys], [held[part][1], counts])
+                        held[part] = keys, counts
+                        if len(keys) > HELD:
+                            yield rows(part, *held.pop(part))
+        for part, (keys, counts) in held.items():
+            yield rows(part, keys, counts)
+
+    found = map_texts(ruled.select("url", "accepted", "side"), run, "part int, key long, n0 long, n1 long, n2 long, n3 long")
+    return found.groupBy("part", "key").agg(*[F.sum(f"n{g}").alias(f"n{g}") for g in range(4)])
+
+
+def _models(ruled: DataFrame) -> tuple[Models, Models]:
+    """Models of the rows of side 0, and of all rows."""
+    got = count_contexts(ruled).toArrow()
+    part, key = got.column("part").to_numpy(), got.column("key").to_numpy().view(np.uint64)
+    n = np.array([got.column(f"n{g}").to_numpy() for g in range(4)])
+    places, first, all_ = [], ([], []), ([], [])
+    for order in range(ORDER + 1):
+        own = [np.flatnonzero(part == 2 * order + k) for k in (0, 1)]
+        places.append(tuple(Places(key[at]) for at in own))
+        for kind in (0, 1):
+            for out, counts in ((first, n[kind]), (all_, n[kind] + n[kind + 2])):
+                out[kind].append(tuple(np.append(counts[at], 0).astype(np.float64) for at in own))
+    return (places, list(first)), (places, list(all_))
+
+
+def _threshold(ruled: DataFrame, models: Models) -> float:
     """Where both classes of the first fold have equal error shares; 0 if one is missing."""
-    sent = ruled.sparkSession.sparkContext.broadcast(tables)
+    sent = ruled.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = np.zeros((2, BINS), np.int64)
@@ -160,10 +244,9 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Dat
     ruled = written(
         judged.where("verdict is not null").select("url", (F.col("verdict") == "allow").alias("accepted"), side.alias("side")), "ruled_urls"
     )
-    counts = _tables(ruled)
-    both = counts.sum(axis=0)
-    learned = both[:, 0, 0].sum(axis=1).all()
-    threshold = _threshold(ruled, counts[0]) if learned else 0.0
+    first, both = _models(ruled)
+    learned = all(tables[0][0].any() for tables in both[1])
+    threshold = _threshold(ruled, first) if learned else 0.0
     sent = pages.sparkSession.sparkContext.broadcast(both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

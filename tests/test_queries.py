@@ -85,6 +85,36 @@ def test_fold_metrics_add_up(spark):
         assert r.rmse == pytest.approx((1 - r.accuracy) ** 0.5, abs=1e-6)
 
 
+@pytest.mark.parametrize("name", ["ml_random_forest", "ml_mlp"])
+def test_ten_folds_test_every_row(spark, name):
+    rows = run(spark, name)
+    titles = QUERIES["ml_one_hot"](spark, SMALL).select("index").collect()
+    assert sorted(r["index"] for r in rows) == sorted(r["index"] for r in titles)
+    assert {r.fold for r in rows} == set(range(10))
+    metrics = run(spark, f"{name}_kfold")
+    right = {f: [r.label == r.prediction for r in rows if r.fold == f] for f in range(10)}
+    assert {r.fold: r.n for r in metrics} == {f: len(x) for f, x in right.items()}
+    assert all(r.accuracy == pytest.approx(sum(right[r.fold]) / r.n, abs=1e-6) for r in metrics)
+
+
+def test_larger_grid_is_the_given_one(spark, monkeypatch):
+    from titleq.models import training
+
+    class Stop(Exception):
+        pass
+
+    def tuned(estimator, grid, evaluator=None, **_):
+        points = [{p.name: v for p, v in point.items()} for point in grid]
+        assert len(points) == 27 and evaluator is None
+        for name, values in (("maxBins", {16, 32, 64}), ("maxDepth", {3, 5, 7}), ("minInfoGain", {0.0, 2.0, 5.0})):
+            assert {p[name] for p in points} == values
+        raise Stop
+
+    monkeypatch.setattr(training, "cross_validated", tuned)
+    with pytest.raises(Stop):
+        run(spark, "ml_gbt_grid")
+
+
 def test_models_per_category_report_single_classes(spark):
     from titleq.models import training
 

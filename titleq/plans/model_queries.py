@@ -319,25 +319,33 @@ def _indexed(rows: DataFrame) -> list:
 
 @query("ml_gbt_indexed")
 def _(spark, sf_dir):
-    """Label and category indexers with boosted trees, tuned over the larger grid."""
-    rows = training.with_fold(concise_frame(spark, sf_dir))
+    """Label and category indexers with boosted trees, one fit."""
+    rows = concise_frame(spark, sf_dir)
     train, test = evaluate.split(rows)
     gbt = GBTClassifier(
         labelCol="indexedLabel", featuresCol="indexedFeatures", maxIter=10, seed=SEED
     )
+    chain = training.pipeline(*_indexed(rows), gbt)
+    return training.fit_and_score(chain, train, test).select(
+        "index", "indexedLabel", "prediction",
+        F.round(vector_to_array("probability")[1], 9).alias("p1"),
+    )
+
+
+@query("ml_gbt_grid")
+def _(spark, sf_dir):
+    """Boosted trees tuned over the larger grid by the area under the ROC curve."""
+    train, test = evaluate.split(training.with_fold(concise_frame(spark, sf_dir)))
+    gbt = GBTClassifier(maxIter=10, seed=SEED)
     grid = (
         ParamGridBuilder()
-        .addGrid(gbt.maxBins, [32, 16, 8])
-        .addGrid(gbt.maxDepth, [2, 3, 5])
+        .addGrid(gbt.maxBins, [32, 64, 16])
+        .addGrid(gbt.maxDepth, [3, 5, 7])
         .addGrid(gbt.minInfoGain, [0.0, 2.0, 5.0])
         .build()
     )
-    accuracy = MulticlassClassificationEvaluator(labelCol="indexedLabel", metricName="accuracy")
-    chain = training.pipeline(*_indexed(rows), gbt)
-    search = training.cross_validated(chain, grid, evaluator=accuracy)
-    return training.fit_and_score(search, train, test).select(
-        "index", "indexedLabel", "prediction",
-        F.round(vector_to_array("probability")[1], 9).alias("p1"),
+    return training.predictions(
+        training.fit_and_score(training.cross_validated(gbt, grid), train, test)
     )
 
 
@@ -426,20 +434,36 @@ def _(spark, sf_dir):
 
 @query("ml_random_forest")
 def _(spark, sf_dir):
-    """Segment of a product from its title vector."""
-    train, test = evaluate.split(_title_vectors(spark, sf_dir), 0.8)
-    forest = RandomForestClassifier(featureSubsetStrategy="50", seed=SEED)
-    return training.predictions(training.fit_and_score(forest, train, test))
+    """Segment of a product from its title vector, ten contiguous folds; every row is tested."""
+    return over_folds(folded(_title_vectors(spark, sf_dir), 10), _forest(), probability=True)
+
+
+@query("ml_random_forest_kfold")
+def _(spark, sf_dir):
+    """Fold metrics of the forest."""
+    return _fold_metrics(over_folds(folded(_title_vectors(spark, sf_dir), 10), _forest()))
 
 
 @query("ml_mlp")
 def _(spark, sf_dir):
-    """Segment of a product from its title vector, by a network with one hidden layer."""
-    rows = _title_vectors(spark, sf_dir)
+    """Segment of a product from its title vector, by a network with one hidden layer, ten contiguous
+    folds; every row is tested."""
+    return over_folds(folded(_title_vectors(spark, sf_dir), 10), _net(spark, sf_dir), probability=True)
+
+
+@query("ml_mlp_kfold")
+def _(spark, sf_dir):
+    """Fold metrics of the network."""
+    return _fold_metrics(over_folds(folded(_title_vectors(spark, sf_dir), 10), _net(spark, sf_dir)))
+
+
+def _forest() -> RandomForestClassifier:
+    return RandomForestClassifier(featureSubsetStrategy="50", seed=SEED)
+
+
+def _net(spark, sf_dir) -> MultilayerPerceptronClassifier:
     width = word_vectors(spark, sf_dir).dim
-    train, test = evaluate.split(rows, 0.8)
-    net = MultilayerPerceptronClassifier(layers=[width, (width + 2) // 2, 2], maxIter=50, seed=SEED)
-    return training.predictions(training.fit_and_score(net, train, test))
+    return MultilayerPerceptronClassifier(layers=[width, (width + 2) // 2, 2], maxIter=50, seed=SEED)
 
 
 def _title_vectors(spark, sf_dir) -> DataFrame:
@@ -462,12 +486,12 @@ def folded(rows: DataFrame, k: int) -> DataFrame:
 
 
 def over_folds(
-    rows: DataFrame, estimator, workers: int = 3, prepare=lambda train: train
+    rows: DataFrame, estimator, workers: int = 3, prepare=lambda train: train, probability: bool = False
 ) -> DataFrame:
     """Scored rows of a k-fold run; ``rows`` carries ``fold``. Fits are submitted by few threads.
 
     ``prepare`` changes the training rows. A fold whose training rows have one class only predicts
-    that class.
+    that class. ``probability`` adds that of class 1.
     """
     classes = rows.groupBy("fold").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     ends = {r["fold"]: (r["low"], r["high"]) for r in classes.collect()}  # k rows
@@ -477,10 +501,12 @@ def over_folds(
         seen = [e for g, e in ends.items() if g != f]
         low, high = min(a for a, _ in seen), max(b for _, b in seen)
         if low == high:
-            scored = test.withColumn("prediction", F.lit(low))
+            scored, p1 = test.withColumn("prediction", F.lit(low)), F.lit(low)
         else:
             scored = estimator.fit(prepare(rows.where(F.col("fold") != f))).transform(test)
-        return scored.select("index", "fold", "label", "prediction")
+            p1 = F.round(vector_to_array("probability")[1], 9) if probability else None
+        more = [p1.alias("p1")] if probability else []
+        return scored.select("index", "fold", "label", "prediction", *more)
 
     with ThreadPoolExecutor(workers) as pool:
         return reduce(DataFrame.unionByName, pool.map(one, sorted(ends)))

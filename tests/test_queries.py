@@ -132,3 +132,16 @@ def test_models_per_category_report_single_classes(spark):
     kinds = {(r.category_1, r.model) for r in out}
     assert kinds == {("one", "gbt"), ("two", "single class")}
     assert all(r.prediction == 1.0 for r in out if r.category_1 == "two")
+
+
+def test_categories_without_training_rows_keep_their_test_rows(spark):
+    from pyspark.sql import functions as F
+
+    from titleq.models import training
+    from titleq.operators import evaluate
+
+    rows = spark.range(100).select(F.col("id").alias("index"), F.lit(1.0).alias("label"), F.array(F.lit(1.0)).alias("features"))
+    train, test = evaluate.split(rows)
+    rare = test.limit(2).withColumn("category_1", F.lit("rare"))
+    out = training.per_category(train.withColumn("category_1", F.lit("one")).unionByName(rare), ["one", "rare"]).collect()
+    assert [(r.category_1, r.label, r.prediction, r.p1, r.model) for r in out] == [("rare", 1.0, None, None, "no training rows")] * 2

@@ -111,7 +111,8 @@ def per_category(
     """One tuned model per category; the scored test rows of all of them.
 
     The fits are separate Spark jobs submitted by a few threads. A category whose training rows
-    have one class only gets that class as its prediction and is marked in ``model``.
+    have one class only gets that class as its prediction and is marked in ``model``; one without
+    training rows gets null predictions.
     """
     df = with_fold(df)
     train, test = evaluate.split(df)
@@ -123,6 +124,12 @@ def per_category(
 
     def one(name: str) -> DataFrame:
         here = F.col(category) == name
+        if name not in classes:
+            nothing = F.lit(None).cast("double")
+            return test.where(here).select(
+                "index", category, "label", nothing.alias("prediction"), nothing.alias("p1"),
+                F.lit("no training rows").alias("model"),
+            )
         low, high = classes[name]
         if low == high:
             rows = test.where(here).withColumn("prediction", F.lit(low))
@@ -136,7 +143,7 @@ def per_category(
         return rows.withColumn("model", F.lit("gbt"))
 
     with ThreadPoolExecutor(workers) as pool:
-        parts = list(pool.map(one, [n for n in names if n in classes]))
+        parts = list(pool.map(one, names))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -209,6 +209,12 @@ def test_language_without_training(make):
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
 
 
+def test_texts_stay_if_no_language_is_known(make):
+    docs = make([(1, "the cat", None), (2, None, None), (3, "", None), (4, "12 !?", None), (5, "der Hund", None)])
+    model = lang_id.fit(docs, F.lit(True))
+    assert sorted(r.doc_id for r in lang_id.with_language(docs, model).collect()) == [1, 5]
+
+
 @pytest.mark.parametrize("n", [2, 3, 6, 7, 20])
 def test_codewords_differ(n):
     code = lang_id.codebook(n).astype(int)

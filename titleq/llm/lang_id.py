@@ -224,7 +224,8 @@ def predict(docs: DataFrame, model: LanguageModel, *columns: str) -> DataFrame:
 def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Rows of ``docs`` in which a language was recognised, all columns kept.
 
-    Rejected are texts that are null, empty or without a letter. An ambiguous text is kept: a few
+    Rejected are texts that are null, empty or without a letter, and no others if the model has no
+    languages. An ambiguous text is kept: a few
     words shared by two languages are no fault.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -232,7 +233,11 @@ def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [decide(x.as_py(), sent.value)[0] != UNKNOWN for x in batch.column(place)]
+            texts = (x.as_py() for x in batch.column(place))
+            if sent.value.languages:
+                keep = [decide(x, sent.value)[0] != UNKNOWN for x in texts]
+            else:
+                keep = [bool(x) and has_letter(x) for x in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return map_texts(docs, run, docs.schema)

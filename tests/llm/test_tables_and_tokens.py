@@ -120,6 +120,19 @@ def test_neighbours(spark):
     assert exact and all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in exact[:5])
 
 
+def test_neighbours_beside_one_very_long_vector(spark):
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(2000, 32))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    rows[7] *= 5000
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    usable = graph_index.usable(df, "vec_id", "embedding")
+    found = graph_index.nearest(graph_index.index(usable, 21), usable.where("id % 20 = 0"), 20).collect()
+    want = _brute(list(enumerate(rows.tolist())), 20)
+    hits = sum(r.id in {i for i, _ in want[r.query_id]} for r in found)
+    assert len(found) == 20 * len(want) and hits >= 0.95 * len(found)
+
+
 def test_neighbours_of_few(spark):
     schema = "vec_id long, embedding array<float>"
     for rows in ([], [(0, [1.0, 2.0])], [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (7, [0.5, 0.5]), (3, [0.5, 0.5])]):

@@ -6,7 +6,9 @@ shard's graph and stores it. Every query searches every shard by a beam, and the
 are its neighbours.
 
 The largest inner product is the least Euclidean distance after one more coordinate is added that
-gives all nodes of a shard the same length (queries have zero there). A graph starts with random
+gives all nodes of a shard the same length (queries have zero there). Graphs are built by that distance;
+the coordinate is kept less that length, so it is small for short vectors however long the longest is.
+Queries rank nodes by the inner product itself. A graph starts with random
 edges. Nodes are then taken in random order, in batches: a greedy beam search from the node nearest
 to the mean and a few random ones proposes neighbours; pruning keeps the closest and drops those that are, ``ALPHA`` times
 over, closer to a kept one; edges are added backwards and pruned likewise. All searches of a batch
@@ -68,14 +70,17 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
 
 
 class Graph:
-    """One shard: ``points`` (with the added coordinate), ``edges`` padded with -1, nodes to start from."""
+    """One shard: ``points`` (with the added, shifted coordinate), ``edges`` padded with -1, nodes to start from."""
 
     def __init__(self, points: np.ndarray, edges: np.ndarray, entries: np.ndarray):
         self.points, self.edges, self.entries = points, edges, entries
         self.squares = np.einsum("ij,ij->i", points, points)
 
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(nodes, squared distances), nearest first, -1 and inf where fewer were met."""
+    def search(self, queries: np.ndarray, beam: int, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, squared distances), nearest first, -1 and inf where fewer were met.
+
+        ``inner`` takes the negative inner product for the distance.
+        """
         n, m = len(queries), len(self.points)
         beam = min(max(beam, len(self.entries)), m)
         rows = np.arange(n)
@@ -83,7 +88,9 @@ class Graph:
         dist = np.full((n, beam), np.inf, np.float32)
         done = np.ones((n, beam), bool)
         own = np.einsum("ij,ij->i", queries, queries)
-        first = own[:, None] + self.squares[self.entries] - 2 * queries @ self.points[self.entries].T
+        first = -queries @ self.points[self.entries].T
+        if not inner:
+            first = own[:, None] + self.squares[self.entries] + 2 * first
         order = np.argsort(first, axis=1, kind="stable")
         ahead = len(self.entries)
         nodes[:, :ahead] = self.entries[order]
@@ -103,7 +110,7 @@ class Graph:
             fresh = (near >= 0) & ~met[active[:, None], near]
             met[active[:, None], near] = True
             dots = (self.points[near] @ queries[active][:, :, None])[:, :, 0]
-            gap = own[active][:, None] + self.squares[near] - 2 * dots
+            gap = -dots if inner else own[active][:, None] + self.squares[near] - 2 * dots
             gap[~fresh] = np.inf
             all_dist = np.concatenate([dist[active], gap], axis=1)
             order = np.argsort(all_dist, axis=1, kind="stable")[:, :beam]
@@ -153,7 +160,9 @@ def _once(nodes: np.ndarray) -> np.ndarray:
 def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 3) -> Graph:
     """Graph over the rows of ``vectors``."""
     lengths = (vectors**2).sum(axis=1)
-    extra = np.sqrt(np.maximum(lengths.max() - lengths, 0))
+    longest = lengths.max(initial=0)
+    # The root of what is missing to the longest, less the longest's length.
+    extra = -lengths / np.maximum(np.sqrt(longest) + np.sqrt(np.maximum(longest - lengths, 0)), 1e-300)
     points = np.hstack([vectors, extra[:, None]]).astype(np.float32)
     n = len(points)
     rng = np.random.default_rng(seed)
@@ -238,7 +247,7 @@ def nearest(graphs: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BE
         for i in range(0, len(asked), 256):
             part = asked.iloc[i : i + 256]
             vec = _stack(part["vec"])
-            found, _ = graph.search(np.hstack([vec, np.zeros((len(vec), 1))]).astype(np.float32), beam)
+            found, _ = graph.search(np.hstack([vec, np.zeros((len(vec), 1))]).astype(np.float32), beam, inner=True)
             for own_id, q, nodes in zip(part["id"].tolist(), vec, found):
                 nodes = nodes[nodes >= 0]
                 score = (vectors[nodes] * q).sum(axis=1)

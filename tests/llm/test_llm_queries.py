@@ -21,6 +21,7 @@ COLUMNS = {
     "op7": {"page_id", "host", "path", "rule", "verdict"},
     "op8": {"doc_id", "ids", "n_tokens"},
     "op9": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
+    "op11": {"doc_id", "n_shingles", "component_id", "kept"},
     "op10": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
 }
 NAMES = {n.split("_")[0]: n for n in QUERIES if n.startswith("op")}

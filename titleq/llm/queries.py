@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import anchors, decontam, golay, graph_index, lang_id, mixing, pieces, quality, token_count, url_filter
+from . import anchors, decontam, golay, graph_index, hamming, lang_id, mixing, pieces, quality, token_count, url_filter
 from .common import remainder, table
 
 
@@ -112,3 +112,8 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     graphs = graph_index.index(rows, NEIGHBOURS + 1)
     found = graph_index.nearest(graphs, rows.where(F.col("id") % 20 == 0), NEIGHBOURS)
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query("op11_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.near_duplicates(table(spark, sf_dir, "documents"))

@@ -22,6 +22,7 @@ COLUMNS = {
     "op8": {"doc_id", "ids", "n_tokens"},
     "op9": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
     "op11": {"doc_id", "n_shingles", "component_id", "kept"},
+    "op12": {"word", "n", "n_near", "form", "form_n", "root"},
     "op10": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
 }
 NAMES = {n.split("_")[0]: n for n in QUERIES if n.startswith("op")}
@@ -35,7 +36,7 @@ def test_all_are_registered():
 def test_columns_and_rows(spark, op):
     df = QUERIES[NAMES[op]](spark, SMALL)
     assert COLUMNS[op] <= set(df.columns)
-    table = {"op2": None, "op7": "pages"}.get(op, "documents")
+    table = {"op2": None, "op12": None, "op7": "pages"}.get(op, "documents")
     if table:
         assert df.count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
 

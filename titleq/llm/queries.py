@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import anchors, decontam, golay, graph_index, hamming, lang_id, mixing, pieces, quality, token_count, url_filter
+from . import anchors, decontam, golay, graph_index, hamming, lang_id, mixing, pieces, quality, spelling, token_count, url_filter
 from .common import remainder, table
 
 
@@ -117,3 +117,8 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))

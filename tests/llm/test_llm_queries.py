@@ -23,6 +23,7 @@ COLUMNS = {
     "op9": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
     "op11": {"doc_id", "n_shingles", "component_id", "kept"},
     "op12": {"word", "n", "n_near", "form", "form_n", "root"},
+    "op13": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
     "op10": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
 }
 NAMES = {n.split("_")[0]: n for n in QUERIES if n.startswith("op")}

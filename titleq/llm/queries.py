@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import anchors, decontam, golay, graph_index, hamming, lang_id, mixing, pieces, quality, spelling, token_count, url_filter
+from . import alignment, anchors, decontam, golay, graph_index, hamming, lang_id, mixing, pieces, quality, spelling, token_count, url_filter
 from .common import remainder, table
 
 
@@ -122,3 +122,9 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling_variants")
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.alignment(table(spark, sf_dir, "documents"), *paths)

@@ -150,3 +150,20 @@ def row_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
     return running_total(df, key, F.lit(1).cast("long"), "_earlier").withColumn(
         name, F.col("_earlier") + 1
     ).drop("_earlier")
+
+
+def order_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Dense row numbers from 0 in the order of columns of any type; stored.
+
+    Rows are sorted in ranges, so no task sees more than a range of them, and numbered inside each
+    range; the ranges' sizes are a broadcast of one row per shuffle partition. Ranges are drawn from a
+    sample, so they are stored before they are counted. Equal rows are numbered in any order.
+    """
+    rows = df.repartitionByRange(shuffle_width(df), *order).sortWithinPartitions(*order)
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = written(rows.withColumns({"_part": F.spark_partition_id(), "_inside": inside}), "ordered_rows")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    numbered = rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_inside"))
+    return written(numbered.drop("_part", "_inside", "_before"), "numbered_rows")

@@ -70,7 +70,19 @@ SELECT term, count(*) AS n FROM o GROUP BY term""",
 )
 def _(spark, sf_dir):
     rows = products(spark, sf_dir).select(text.useful_words(F.col("title")).alias("tokens"))
-    return topics.term_totals(*topics.bag_of_words(rows, "tokens"))
+    return topics.term_totals(rows, "tokens")
+
+
+@query(
+    "ml_bag_of_words",
+    f"""WITH {sql.TOKENS}, o AS (SELECT index, unnest(nsw) AS term FROM toks),
+  d AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS term_id FROM o GROUP BY term)
+SELECT index, term_id, count(*) AS n FROM o JOIN d USING (term) GROUP BY index, term_id""",
+)
+def _(spark, sf_dir):
+    """Titles as sparse count vectors over a dictionary numbered by falling frequency."""
+    rows = products(spark, sf_dir).select("index", text.useful_words(F.col("title")).alias("tokens"))
+    return topics.bags(rows, "tokens", topics.dictionary(rows, "tokens"), "index")
 
 
 @query(
@@ -211,31 +223,39 @@ def _topic_titles(spark, sf_dir) -> DataFrame:
     return written(rows, "topic_titles")
 
 
-def _segment_topics(rows: DataFrame) -> dict[bool, DataFrame]:
-    """Topics of both segments; the two fits are submitted together."""
-    segments = (True, False)
-    with ThreadPoolExecutor(2) as pool:
-        learnt = pool.map(lambda s: topics.learn(rows.where(F.col("seg_a") == s), "tokens"), segments)
-        return dict(zip(segments, learnt))
+def _segment_topics(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seg_a, topic, rank, term, weight): topics of both segments, learnt in the same rounds; and the titles' shares."""
+    terms = topics.dictionary(rows, "tokens")
+    rows = rows.withColumnRenamed("seg_a", "model")
+    words = written(topics.bags(rows, "tokens", terms, "index", "model"), "bags")
+    learnt = topics.learn(words, "index", terms.count())
+    shares = learnt.shares(words, "index").withColumnRenamed("model", "seg_a")
+    return learnt.strongest(terms, 30).withColumnRenamed("model", "seg_a"), shares
 
 
 @query("ml_lda_topics")
 def _(spark, sf_dir):
-    rows = _topic_titles(spark, sf_dir)
-    learnt = _segment_topics(rows)
-    out = reduce(
-        DataFrame.unionByName, [t.withColumn("seg_a", F.lit(s)) for s, t in learnt.items()]
-    )
+    out, _ = _segment_topics(_topic_titles(spark, sf_dir))
     return out.select("seg_a", "topic", "rank", "term", F.round("weight", 9).alias("weight"))
 
 
+@query("ml_lda_shares")
+def _(spark, sf_dir):
+    """Topic shares of each title with words, under the topics of its own segment."""
+    _, shares = _segment_topics(_topic_titles(spark, sf_dir))
+    return shares.select("index", "seg_a", *[F.round(F.col("shares")[i], 6).alias(f"topic_{i}") for i in range(5)])
+
+
 @query("ml_lda_overlap")
 def _(spark, sf_dir):
     """Titles against the topics learnt on their own segment."""
     rows = _topic_titles(spark, sf_dir)
+    learnt = written(_segment_topics(rows)[0], "topics")  # segments x topics x 30 rows
     parts = [
-        lexicon.topic_overlap(rows.where(F.col("seg_a") == s), "tokens", lexicon.topic_lists(t))
-        for s, t in _segment_topics(rows).items()
+        lexicon.topic_overlap(
+            rows.where(F.col("seg_a") == s), "tokens", lexicon.topic_lists(learnt.where(F.col("seg_a") == s))
+        )
+        for s in (True, False)
     ]
     return parts[0].unionByName(parts[1]).select("index", "seg_a", "max_words_topic", "topic_num")
 

@@ -21,7 +21,6 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
     VectorIndexer,
-    Word2Vec,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, words
 from ..functions.stems import snowball, stems
-from ..models import topics, training
+from ..models import topics, training, vectors
 from ..operators import evaluate, features, lexicon, similarity
 from ..schemas import (
     CATEGORIES,
@@ -158,59 +157,40 @@ def _sentences(spark, sf_dir) -> DataFrame:
     return products(spark, sf_dir).select("index", both.alias("tokens"))
 
 
-def word2vec(
-    rows: DataFrame, tokens: str, min_count: int = 1, size: int = 200, window: int = 5,
-    passes: int = 5, partitions: int = 8,
-):
-    """Word vectors trained on token lists, in ``passes`` over ``partitions`` parts of the rows.
-
-    The number of parts changes the vectors, so it is a parameter and no session setting. Token
-    lists are whole sentences, however long. The vocabulary and its vectors are held by the driver,
-    as in every fit of this estimator, so ``min_count`` must rise with the corpus.
-    """
-    return Word2Vec(
-        inputCol=tokens, outputCol="doc_vec", vectorSize=size, windowSize=window, minCount=min_count,
-        maxIter=passes, numPartitions=partitions, maxSentenceLength=2**31 - 1, seed=SEED,
-    ).fit(rows)
-
-
 @query("ml_word2vec")
 def _(spark, sf_dir):
-    vectors = word2vec(_sentences(spark, sf_dir), "tokens").getVectors()
-    norm = F.sqrt(similarity.dot(F.col("v"), F.col("v")))
-    return vectors.withColumn("v", vector_to_array("vector")).select(
-        F.col("word").alias("token"), F.size("v").alias("dim"), F.round(norm, 6).alias("norm")
+    trained = vectors.train(written(_sentences(spark, sf_dir), "sentences"), "tokens")
+    return trained.words().select(
+        F.col("term").alias("token"), F.size("vec").alias("dim"), F.round(vectors.norm(F.col("vec")), 6).alias("norm")
     )
 
 
 @query("ml_word2vec_similarity")
 def _(spark, sf_dir):
     """Word-pair mean similarity under vectors trained on the same texts."""
-    trained = word2vec(_sentences(spark, sf_dir), "tokens").getVectors()
-    stored = written(
-        trained.select(F.col("word").alias("vec_id"), vector_to_array("vector").alias("vec")),
-        "trained_vectors",
-    )
-    vectors = similarity.WordVectors(stored, F.col("token"), stored.count(), 200)
+    trained = vectors.train(written(_sentences(spark, sf_dir), "sentences"), "tokens")
+    stored = written(trained.words().select(F.col("term").alias("vec_id"), "vec"), "trained_vectors")
+    table = similarity.WordVectors(stored, F.col("token"), stored.count(), trained.dim)
     pairs = similarity.side_words(
         products(spark, sf_dir, False),
         text.useful_words(F.col("title")),
         text.useful_words(text.text("description")),
     )
-    return similarity.pair_mean(pairs, vectors).select(
+    return similarity.pair_mean(pairs, table).select(
         "index", F.round("w2v_score", 6).alias("w2v_score")
     )
 
 
 @query("ml_doc_vectors")
 def _(spark, sf_dir):
-    """A vector per title: the mean of its word vectors; words seen fewer than five times fall out."""
+    """A vector per title, fitted against the context vectors of words seen at least five times; null
+    for titles without such a word."""
     rows = products(spark, sf_dir).select("index", text.useful_words(F.col("title")).alias("tokens"))
-    out = word2vec(rows, "tokens", min_count=5, size=300, window=10, passes=10).transform(rows)
-    v = vector_to_array("doc_vec")
-    return out.withColumn("v", v).select(
-        "index", F.round(F.sqrt(similarity.dot(F.col("v"), F.col("v"))), 6).alias("norm")
-    )
+    rows = written(rows, "titles")
+    trained = vectors.train(rows, "tokens", dim=300, window=10, min_count=5, passes=10)
+    fitted = vectors.document_vectors(rows, "index", "tokens", trained)
+    norms = fitted.select("index", F.round(vectors.norm(F.col("vec")), 6).alias("norm"))
+    return rows.select("index").join(norms, "index", "left")
 
 
 def _topic_titles(spark, sf_dir) -> DataFrame:

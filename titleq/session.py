@@ -53,12 +53,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/titleq-{app}/{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     """``df`` stored as a Parquet table in the shared folder and read back.
 
     Used where several later jobs need the same frame: the files outlive lost executors, so
-    nothing upstream is computed twice.
+    nothing upstream is computed twice. Columns in ``by`` become folders, so a filter on them reads only
+    the rows it needs.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text, words
 from ..functions.stems import snowball, stems
-from ..models import topics, training, vectors
-from ..operators import evaluate, features, lexicon, similarity
+from ..models import outliers, tagger, topics, training, vectors
+from ..operators import evaluate, features, lexicon, profile, similarity
 from ..schemas import (
     CATEGORIES,
     CLARITY_FEATURES,
@@ -240,6 +240,32 @@ def _(spark, sf_dir):
     return parts[0].unionByName(parts[1]).select("index", "seg_a", "max_words_topic", "topic_num")
 
 
+def _fitted_tagger(spark, sf_dir):
+    """Titles as tokens, stored, and the tagger fitted to them."""
+    rows = written(tagger.tokens_of(products(spark, sf_dir), "title", "index"), "tokens")
+    return rows, *tagger.fit(rows)
+
+
+@query("ml_hmm_tagger")
+def _(spark, sf_dir):
+    """Objective of the tagger before each round of its fit and at the end."""
+    _, _, objective = _fitted_tagger(spark, sf_dir)
+    return spark.createDataFrame(list(enumerate(objective)), "round int, objective double")
+
+
+@query("feat_hmm_tags")
+def _(spark, sf_dir):
+    """Counts and shares of the tags that the fitted tagger gives to each title."""
+    rows, model, _ = _fitted_tagger(spark, sf_dir)
+    kinds = {"num": ["NUM"], "adj": ["ADJ"], "noun": ["NOUN"], "conj": ["SYM", "CCONJ"]}
+    out = tagger.tagged(rows, model, "index")
+    for kind, names in kinds.items():
+        out = out.withColumn(f"count_{kind}", F.size(F.filter("tags", lambda t, names=names: t.isin(names))))
+        share = F.coalesce(F.try_divide(F.col(f"count_{kind}"), F.size("tags")), F.lit(0.0))
+        out = out.withColumn(f"freq_{kind}", F.round(share, 9))
+    return out.drop("tags")
+
+
 @query("ml_gmm_two_class")
 def _(spark, sf_dir):
     """Two clusters of the rest segment; the larger one in training counts as clear."""
@@ -255,6 +281,47 @@ def _(spark, sf_dir):
     )
 
 
+def _standard_features(spark, sf_dir) -> DataFrame:
+    """(index, seg_a, x): the token features of every product on one scale, stored."""
+    columns = [c for c in CONCISE_FEATURES if c != "clarity"]
+    rows = features.concise_features(products(spark, sf_dir)).select(
+        "index", features.in_segment_a().alias("seg_a"), *columns
+    )
+    scaled = profile.zscore(written(rows, "concise_features"), columns)
+    cells = [F.coalesce(F.col(c), F.lit(0.0)) for c in columns]
+    return written(scaled.select("index", "seg_a", F.array(*cells).alias("x")), "standard_features")
+
+
+def _flagged(rows: DataFrame, score) -> DataFrame:
+    """Scores of a model per segment, and the rows beyond the 98 % quantile of their segment."""
+    parts = [score(rows.where(F.col("seg_a") == segment)) for segment in (True, False)]
+    scored = parts[0].unionByName(parts[1]).select("index", "seg_a", F.round("score", 9).alias("score"))
+    scored = written(scored, "outlier_scores")
+    cut = evaluate.quantile(scored, "score", "seg_a", 0.98)  # one row per segment
+    marked = scored.join(F.broadcast(cut), "seg_a")
+    return marked.select("index", "seg_a", "score", (F.col("score") > F.col("cut")).alias("outlier"))
+
+
+@query("ml_isolation_forest")
+def _(spark, sf_dir):
+    """Products that an isolation forest of their segment sets apart."""
+
+    def score(rows):
+        return outliers.isolation_scores(rows, "x", outliers.forest(rows, "index", "x"), "index", "seg_a")
+
+    return _flagged(_standard_features(spark, sf_dir), score)
+
+
+@query("ml_local_outliers")
+def _(spark, sf_dir):
+    """Products whose neighbourhood in their segment is thinner than that of their neighbours."""
+
+    def score(rows):
+        return outliers.outlier_factors(rows, "x", outliers.density(rows, "index", "x"), "index", "seg_a")
+
+    return _flagged(_standard_features(spark, sf_dir), score)
+
+
 # ---- classifiers --------------------------------------------------------------------------------
 
 

@@ -65,18 +65,23 @@ def f1_macro(df: DataFrame, label: str = "label", prediction: str = "prediction"
     return df.agg(((f1(0) + f1(1)) / 2).alias("f1_macro"))
 
 
-def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Exact area under the ROC curve: rows are first counted per distinct score."""
+def auc(
+    df: DataFrame, label: str = "label", score: str = "score", by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Exact area under the ROC curve, per (few) groups: rows are first counted per distinct score.
+
+    Null for a group that lacks a class.
+    """
     counts = written(
-        df.groupBy(score).agg(
+        df.groupBy(*by, score).agg(
             F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")
         ),
         "score_counts",
     )
-    ranked = running_total(counts, score, F.col("q"), "below")
+    ranked = running_total(counts, score, F.col("q"), "below", groups=by)
     wins = F.sum(F.col("p").cast("double") * (F.col("below") + F.col("q") / 2))
     pairs = F.sum("p").cast("double") * F.sum("q")
-    return ranked.agg(F.try_divide(wins, pairs).alias("auc"))
+    return ranked.groupBy(*by).agg(F.try_divide(wins, pairs).alias("auc"))
 
 
 def quantile(df: DataFrame, value: str, group: str, q: float) -> DataFrame:

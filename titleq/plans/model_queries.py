@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, words
 from ..functions.stems import snowball, stems
-from ..models import outliers, tagger, topics, training, vectors
+from ..models import grouped, outliers, tagger, topics, training, vectors
 from ..operators import evaluate, features, lexicon, profile, similarity
 from ..schemas import (
     CATEGORIES,
@@ -42,7 +42,7 @@ from ..schemas import (
 from ..session import written
 from . import sql
 from .catalog import labels, products, word_vectors
-from .registry import query
+from .registry import QUERIES, query
 from .similarity_queries import clarity_frame
 
 SEED = training.SEED
@@ -376,6 +376,51 @@ def _(spark, sf_dir):
     return training.per_category(concise_frame(spark, sf_dir), CATEGORIES)
 
 
+def _metrics(scored: DataFrame, *by: str) -> DataFrame:
+    """Area under the ROC curve and counts of labels and predictions, per group if one is given."""
+    rows = written(scored.where("prediction IS NOT NULL"), "predictions")
+    y, p = F.col("label"), F.col("prediction")
+    table = rows.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        *[F.count_if((y == a) & (p == b)).alias(c) for c, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))],
+    )
+    areas = evaluate.auc(rows, score="p1", by=by)
+    joined = table.join(areas, list(by), "left") if by else table.crossJoin(areas)  # one row each
+    return joined.withColumn("auc", F.round("auc", 9))
+
+
+@query("ml_gbt_total_metrics")
+def _(spark, sf_dir):
+    """How the tuned trees over all categories do on their test rows."""
+    return _metrics(QUERIES["ml_gbt_total"](spark, sf_dir))
+
+
+@query("ml_gbt_per_category_metrics")
+def _(spark, sf_dir):
+    """How the tuned trees of each category do on their test rows."""
+    return _metrics(QUERIES["ml_gbt_per_category"](spark, sf_dir), "category_1")
+
+
+#: Penalties and intercepts tried for each category's logistic regression.
+_POINTS = [grouped.Point(penalty, intercept) for penalty in (0.1, 0.01) for intercept in (False, True)]
+
+
+@query("ml_logreg_per_category")
+def _(spark, sf_dir):
+    """One tuned logistic regression per category, all of them fitted in the same scans."""
+    rows = training.with_fold(concise_frame(spark, sf_dir))
+    rows = rows.select("index", F.col("category_1").alias("group"), "fold", "label", vector_to_array("features").alias("x"))
+    train, test = evaluate.split(training.stored(rows, "grouped_frame"))
+    out = grouped.tuned(train, test, _POINTS, len(CONCISE_FEATURES), "index").withColumnRenamed("group", "category_1")
+    return out.withColumn("p1", F.round("p1", 9))
+
+
+@query("ml_logreg_per_category_metrics")
+def _(spark, sf_dir):
+    """How the logistic regression of each category does on its test rows."""
+    return _metrics(QUERIES["ml_logreg_per_category"](spark, sf_dir), "category_1")
+
+
 def _indexed(rows: DataFrame) -> list:
     """Stages that number the labels and find categorical features."""
     return [

@@ -67,7 +67,7 @@ def test_cleaning(spark):
         ("<b>x</b><!-- <i> --><script>if (a<b) {}</script>y", "xy"),
         ("<style>\np{}</style >z", "z"),
         ("no markup", "no markup"),
-        ("&#0;&#55555555;", "&#0;&#55555555;"),
+        ("&#0;&#55555555;&#xD800;", "\ufffd\ufffd\ufffd"),
     ],
 )
 def test_html(spark, markup, plain):

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ENTITY = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+#: A start tag: its name, then blanks and slashes, or attributes, whose quoted values may hold ">". "<" before
+#: anything but a letter, "/", "!" or "?" is text.
+START_TAG = (
+    r"""<[a-zA-Z][^\s/>]*+(?:[\s/]++|[^\s/>][^\s/>=]*+"""
+    r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+>"""
+)
+OTHER_TAG = r"</[^>]++>|<[!?][^>]*+>"
+_NAMES = sorted({n.rstrip(";") for n in html5 if not n.endswith(";")}, key=lambda n: (-len(n), n))
+#: A reference at the start of a piece; old names need no semicolon.
+_ENTITY = r"^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|" + "|".join(_NAMES) + ")"
 
 
 def strip_tags(c: Column) -> Column:
     """Comments, scripts, styles and tags taken out."""
     bare = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    bare = F.regexp_replace(bare, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
-    return F.regexp_replace(bare, r"(?s)<[^>]*>", "")
+    bare = F.regexp_replace(bare, r"(?is)<(script|style)\b[^>]*+>.*?</\1\s*+>", "")
+    return F.regexp_replace(bare, START_TAG + "|" + OTHER_TAG, "")
 
 
 def _character(code: Column) -> Column:
@@ -22,19 +32,32 @@ def _character(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
+def _numbered() -> dict[int, str]:
+    """Code points from 128 to 159 mean what they mean in the Windows code page, where it has a sign."""
+    return {n: bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0) if bytes([n]).decode("cp1252", "ignore")}
+
+
 def decode_entities(c: Column) -> Column:
-    """Character references replaced in one pass, so ``&amp;lt;`` gives ``&lt;``."""
-    named = F.create_map(*[F.lit(x) for n, p in name2codepoint.items() for x in (n, chr(p))])
+    """Character references replaced in one pass, so ``&amp;lt;`` gives ``&lt;``.
+
+    Numbers that name no character give the replacement sign, unknown names stay as they are.
+    """
+    # One constant; a lookup walks it from the start, so frequent names come first.
+    frequent = dict.fromkeys([*(f"{n};" for n in ("amp", "quot", "lt", "gt", "nbsp")), *sorted(html5, key=len)])
+    named = F.from_json(F.lit(json.dumps({n: html5[n] for n in frequent})), "map<string,string>")
+    windows = F.create_map(*[F.lit(x) for n, sign in _numbered().items() for x in (n, sign)])
 
     def piece(p: Column) -> Column:
         name = F.regexp_extract(p, _ENTITY, 1)
-        code = F.when(
-            name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 10), 16, 10).cast("long")
-        ).when(name.startswith("#"), F.substring(name, 2, 10).try_cast("long"))
-        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        sign = F.when(name.startswith("#"), F.when(valid, _character(code))).otherwise(
-            F.try_element_at(named, name)
+        digits = F.regexp_replace(name, "[;#xX]", "")
+        # Numbers of more than nine digits are no characters and need not be read.
+        short = F.length(F.ltrim(digits, F.lit("0"))) < 10
+        code = F.when(~short, 1 << 31).when(name.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(
+            digits.try_cast("long")
         )
+        wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        number = F.when(wrong, "\ufffd").otherwise(F.coalesce(F.try_element_at(windows, code.cast("int")), _character(code)))
+        sign = F.when(name.startswith("#"), number).otherwise(F.try_element_at(named, name))
         rest = F.regexp_replace(p, _ENTITY, "")
         return F.when((name == "") | sign.isNull(), p).otherwise(F.concat(sign, rest))
 

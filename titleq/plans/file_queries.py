@@ -20,11 +20,7 @@ from ..sources import readers, writers
 from . import sql
 from .catalog import labels, products, table, word_vectors
 from .registry import query
-from .text_queries import TAGGED, _plain_sql
-
-
-def _one_line_sql(c: str) -> str:
-    return f"regexp_replace({c}, '[\\r\\n]+', ' ', 'g')"
+from .text_queries import TAGGED, _bare_sql
 
 
 def _raw_products(spark, sf_dir):
@@ -32,19 +28,18 @@ def _raw_products(spark, sf_dir):
     return products(spark, sf_dir, False).select(
         F.col("category_3").alias("country"),
         F.concat(F.lit("SKU"), F.col("index").cast("string")).alias("sku_id"),
-        writers.one_line("title").alias("title"),
+        "title",
         "category_1",
         "category_2",
         "category_3",
-        writers.one_line("description").alias("description"),
+        "description",
         (F.col("n_chars") / 2).cast("float").alias("org_price"),
         F.lit("local").alias("product_type"),
     )
 
 
 _RAW_SQL = f"""WITH {sql.PRODUCTS} SELECT category_3 AS country, 'SKU' || index AS sku_id,
-  nullif({_one_line_sql("title")}, '') AS title, category_1, category_2, category_3,
-  nullif({_one_line_sql("description")}, '') AS description, n_chars / 2.0::DOUBLE AS org_price,
+  title, category_1, category_2, category_3, description, n_chars / 2.0::DOUBLE AS org_price,
   'local' AS product_type FROM products"""
 
 
@@ -64,10 +59,10 @@ def _processed(spark, sf_dir):
         .join(labels(spark, sf_dir), "index")
         .select(
             "index",
-            writers.one_line("title").alias("title"),
-            clean(writers.one_line("title")).alias("new_title"),
-            writers.one_line("description").alias("description"),
-            clean(writers.one_line("description")).alias("new_des"),
+            "title",
+            clean(F.col("title")).alias("new_title"),
+            "description",
+            clean(F.col("description")).alias("new_des"),
             "category_1",
             "concise",
             "clarity",
@@ -76,15 +71,13 @@ def _processed(spark, sf_dir):
 
 
 def _cleaned_sql(c):
-    return f"regexp_replace({_one_line_sql(c)}, '[''\"</&\\[+>()\\-]', ' ', 'g')"
+    return f"regexp_replace({c}, '[''\"</&\\[+>()\\-]', ' ', 'g')"
 
 
 @query(
     "src_csv_header_typed",
     f"""WITH {sql.PRODUCTS}, {sql.LABELS} SELECT index,
-  nullif({_one_line_sql("title")}, '') AS title, nullif({_cleaned_sql("title")}, '') AS new_title,
-  nullif({_one_line_sql("description")}, '') AS description,
-  nullif({_cleaned_sql("description")}, '') AS new_des, category_1, concise, clarity
+  title, {_cleaned_sql("title")} AS new_title, description, {_cleaned_sql("description")} AS new_des, category_1, concise, clarity
 FROM products JOIN lab USING (index)""",
 )
 def _(spark, sf_dir):
@@ -95,13 +88,12 @@ def _(spark, sf_dir):
 
 @query(
     "src_csv_header_strings",
-    f"""WITH {sql.PRODUCTS} SELECT index, nullif({_one_line_sql("title")}, '') AS title, category_1,
-  n_chars FROM products""",
+    f"""WITH {sql.PRODUCTS} SELECT index, title, category_1, n_chars FROM products""",
 )
 def _(spark, sf_dir):
     path = scratch_path(spark, "clean.csv")
     rows = products(spark, sf_dir, False).select(
-        "index", writers.one_line("title").alias("title"), "category_1", "n_chars"
+        "index", "title", "category_1", "n_chars"
     )
     writers.write_csv(rows, path, header=True)
     types = {"index": "long", "title": "string", "category_1": "string", "n_chars": "long"}
@@ -259,8 +251,7 @@ def _(spark, sf_dir):
     f"""WITH {sql.PRODUCTS}, {sql.LABELS}, j AS (
   SELECT row_number() OVER (ORDER BY index) AS index, title, description, category_1, category_2,
     category_3, concise, clarity FROM products JOIN lab USING (index))
-SELECT index, nullif({_one_line_sql("title")}, '') AS title, category_1, category_2, category_3,
-  nullif({_plain_sql(_one_line_sql("description"))}, '') AS description, concise, clarity FROM j""",
+SELECT index, title, category_1, category_2, category_3, {_bare_sql("description")} AS description, concise, clarity FROM j""",
 )
 def _(spark, sf_dir):
     """Raw headerless products and two keyless label files to the clean frame.
@@ -282,7 +273,7 @@ def _(spark, sf_dir):
     label = readers.read_label_file(spark, files["concise"], "concise").join(
         readers.read_label_file(spark, files["clarity"], "clarity"), "index"
     )
-    clean = rows.withColumn("description", html.plain_if_marked(F.col("description")))
+    clean = rows.withColumn("description", html.html_to_text(F.col("description")))
     clean = clean.join(label, "index").select(
         "index", "title", "category_1", "category_2", "category_3", "description", "concise", "clarity"
     )
@@ -295,19 +286,18 @@ def _(spark, sf_dir):
 
 @query(
     "snk_csv",
-    f"""WITH {sql.PRODUCTS}, {sql.LABELS} SELECT index, nullif({_one_line_sql("title")}, '') AS title,
-  category_1, category_2, category_3, nullif({_one_line_sql("description")}, '') AS description,
+    f"""WITH {sql.PRODUCTS}, {sql.LABELS} SELECT index, title, category_1, category_2, category_3, description,
   concise, clarity FROM products LEFT JOIN lab USING (index)""",
 )
 def _(spark, sf_dir):
     path = scratch_path(spark, "clean_frame.csv")
     rows = products(spark, sf_dir, False).join(labels(spark, sf_dir), "index", "left").select(
         "index",
-        writers.one_line("title").alias("title"),
+        "title",
         "category_1",
         "category_2",
         "category_3",
-        writers.one_line("description").alias("description"),
+        "description",
         "concise",
         "clarity",
     )

@@ -72,15 +72,24 @@ def _(spark, sf_dir):
     )
 
 
-@query(
-    "txt_html_to_text",
-    r"""WITH bare AS (
-  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'),
-    '<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>', '', 'gsi'), '<[^>]*>', '', 'gs') AS t
-  FROM pages)
-SELECT page_id, replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)),
-  '&quot;', '"'), '&amp;', '&') AS plain FROM bare""",
-)
+#: Tags as in functions.html, without possessive marks.
+_TAG_SQL = f"{html.START_TAG}|{html.OTHER_TAG}".replace("'", "''")
+for _mark in "+*?":
+    _TAG_SQL = _TAG_SQL.replace(f"{_mark}+", _mark)
+
+
+def _bare_sql(c: str) -> str:
+    """Text without markup, and the references that occur in the given tables."""
+    bare = (
+        f"regexp_replace(regexp_replace(regexp_replace({c}, '<!--.*?-->', '', 'gs'), "
+        f"'<script[^>]*>.*?</script\\s*>|<style[^>]*>.*?</style\\s*>', '', 'gsi'), '{_TAG_SQL}', '', 'gs')"
+    )
+    for name, sign in (("copy", "chr(169)"), ("middot", "chr(183)"), ("quot", "chr(34)"), ("amp", "'&'")):
+        bare = f"replace({bare}, '&{name};', {sign})"
+    return bare
+
+
+@query("txt_html_to_text", f"SELECT page_id, {_bare_sql('html')} AS plain FROM pages")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(
         "page_id", html.html_to_text(F.col("html")).alias("plain")
@@ -307,13 +316,7 @@ _STEMMED = f"""{sql.TOKENS}, lists AS (
 
 def _plain_sql(c: str) -> str:
     """Text of a value that holds a tag, as in txt_html_to_text."""
-    bare = (
-        f"regexp_replace(regexp_replace(regexp_replace({c}, '<!--.*?-->', '', 'gs'), "
-        "'<script[^>]*>.*?</script\\s*>|<style[^>]*>.*?</style\\s*>', '', 'gsi'), '<[^>]*>', '', 'gs')"
-    )
-    for name, sign in (("copy", "chr(169)"), ("middot", "chr(183)"), ("quot", "chr(34)"), ("amp", "'&'")):
-        bare = f"replace({bare}, '&{name};', {sign})"
-    return f"CASE WHEN regexp_matches({c}, '<[a-zA-Z!/]') THEN {bare} ELSE {c} END"
+    return f"CASE WHEN regexp_matches({c}, '<[a-zA-Z!/]') THEN {_bare_sql(c)} ELSE {c} END"
 
 
 def _clean_tokens_sql(c: str) -> str:

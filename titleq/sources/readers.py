@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .writers import NULL, RECORD_END, csv_options
 
-def read_csv(spark: SparkSession, path: str, schema: str, header: bool = False) -> DataFrame:
-    """Typed CSV; a doubled quote inside quotes is a quote, blanks around values are kept."""
-    return (
-        spark.read.schema(schema)
-        .option("header", header)
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+
+def read_csv(
+    spark: SparkSession, path: str, schema: str, header: bool = False, line_end: str | None = RECORD_END, null: str = NULL
+) -> DataFrame:
+    """Typed CSV; a doubled quote inside quotes is a quote, blanks around values are kept.
+
+    Files of other writers are read with ``line_end=None``, where records are lines, and ``null=""``.
+    """
+    return spark.read.schema(schema).options(header=header, **csv_options(line_end, null)).csv(path)
 
 
 def read_csv_strings(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:

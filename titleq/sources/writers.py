@@ -6,9 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def one_line(c: str):
-    """Line breaks become blanks, so that CSV records stay lines and files stay splittable."""
-    return F.regexp_replace(c, r"[\r\n]+", " ")
+#: The end of a record and the mark of a null in CSV files, signs that no text may hold or be: so line
+#: breaks stay inside values, files stay splittable, and an empty text is no null.
+RECORD_END, NULL = "\x1e", "\x1f"
+
+
+def csv_options(line_end: str | None = RECORD_END, null: str = NULL) -> dict[str, object]:
+    """Options common to reading and writing."""
+    options = {
+        "escape": '"',
+        "nullValue": null,
+        "emptyValue": "",
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+    }
+    return options | ({"lineSep": line_end} if line_end else {})
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    """Texts that would be read back as something else stop the job."""
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    bad = lambda c: F.col(c).contains(RECORD_END) | (F.col(c) == NULL)
+    error = F.raise_error(F.lit("a text holds the CSV record end or is the mark of a null"))
+    return df.withColumns({c: F.when(bad(c), error).otherwise(F.col(c)) for c in texts})
 
 
 def write_csv(
@@ -20,13 +40,7 @@ def write_csv(
         df = df.sortWithinPartitions(sort)
     elif files:
         df = df.coalesce(files)
-    (
-        df.write.option("header", header)
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    _checked(df).write.options(header=header, quoteAll=True, **csv_options()).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -176,3 +176,23 @@ def test_top_terms_breaks_ties_by_word(spark):
     df = spark.createDataFrame(rows, "lang string, token string")
     got = lexicon.top_terms(df, "lang", 3).orderBy("topic", "rank").collect()
     assert [(r.topic, r.term) for r in got] == [("g", "a"), ("g", "b"), ("g", "c"), ("h", "x")]
+
+
+def test_every_feature_of_the_clarity_table_varies(spark):
+    """No feature is the same in all rows, the lexicon counts among them."""
+    import __spark_entry__ as entry
+    from titleq.schemas import CLARITY_FEATURES
+
+    frame = entry.queries()["feat_clarity_frame"](spark, "/root/testdata/sf0.01")
+    seen = frame.agg(*[F.count_distinct(c).alias(c) for c in CLARITY_FEATURES]).first().asDict()
+    flat = {c for c, n in seen.items() if n < 2}
+    assert not flat & {"count_color", "freq_color", "count_brand", "freq_brand", "count_noun", "title_des_dup", "tf_score"}
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_lexicon_counts_by_either_lookup(spark, limit, monkeypatch):
+    monkeypatch.setattr(lexicon, "BROADCAST_BYTES", limit)
+    titles = spark.createDataFrame([(1, ["red", "shoe", "red"]), (2, []), (3, None), (4, ["acme", "red"])], "index long, tokens array<string>")
+    lists = {"color": spark.createDataFrame([("red",)], "token string"), "brand": spark.createDataFrame([("acme",), ("red",)], "token string")}
+    got = {r["index"]: (r.count_color, r.count_brand, r.count_words, r.count_chars, r.freq_color) for r in lexicon.lexicon_counts(titles, lists).collect()}
+    assert got == {1: (2, 2, 3, 10, 2 / 3), 2: (0, 0, 0, 0, 0.0), 3: (0, 0, 0, 0, 0.0), 4: (1, 2, 2, 7, 0.5)}

@@ -7,7 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import split_lookup
+from ..session import written
+from .layout import BROADCAST_BYTES, split_lookup
+
+#: A lexicon word and its flags in memory.
+ROW_BYTES = 100
 
 
 def lexicon_union(*lexicons: DataFrame) -> DataFrame:
@@ -19,7 +23,8 @@ def lexicon_counts(titles: DataFrame, lexicons: dict[str, DataFrame]) -> DataFra
     """Per row: token count, characters, and count and share of the tokens in each lexicon.
 
     ``titles`` has (index, tokens); the lexicons are one-column tables ``token``. All lexicons are
-    merged into one table of flags, so the tokens are looked up once.
+    merged into one table of flags, so the tokens are looked up once: by a broadcast, where tokens
+    don't move, if the table is small, else by the lookup that copes with hot words.
     """
     names = list(lexicons)
     tagged = reduce(
@@ -29,8 +34,12 @@ def lexicon_counts(titles: DataFrame, lexicons: dict[str, DataFrame]) -> DataFra
     flags = tagged.groupBy("token").agg(
         *[F.max((F.col("_lex") == n).cast("int")).alias(f"_is_{n}") for n in names]
     )
+    flags = written(flags, "lexicon_flags")
     tokens = titles.select("index", F.explode_outer("tokens").alias("token"))
-    found = split_lookup(tokens, flags, "token", keep=True)
+    if flags.count() * ROW_BYTES <= BROADCAST_BYTES:
+        found = tokens.join(F.broadcast(flags), "token", "left")
+    else:
+        found = split_lookup(tokens, flags, "token", keep=True)
     counts = found.groupBy("index").agg(
         *[F.coalesce(F.sum(f"_is_{n}"), F.lit(0)).cast("int").alias(f"count_{n}") for n in names],
         F.count("token").cast("int").alias("count_words"),

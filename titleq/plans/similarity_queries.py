@@ -7,14 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, words
+from ..functions import text
 from ..operators import features, lexicon, similarity
 from ..schemas import CLARITY_FEATURES
-from ..session import written
+from ..session import scratch_path, written
+from ..sources import readers, writers
 from . import sql
 from .catalog import products, table, word_vectors
 from .registry import query
-from .text_queries import TAGGED, TOPICS, color_table, language_topics
+from .text_queries import TAGGED, TOPICS, language_topics
 
 
 def _title():
@@ -174,6 +175,20 @@ def _(spark, sf_dir):
 
 # ---- the full feature table ---------------------------------------------------------------------
 
+#: Words of the benchmark items stand in for the lexicons, as they occur in titles: short ones for colours, long
+#: ones for brands. The numbers are lengths.
+LEXICONS = {"color": (2, 4), "brand": (5, 40)}
+
+
+def lexicon_file(spark, sf_dir, name: str) -> DataFrame:
+    """A lexicon written to a file, one word per line, and read back."""
+    low, high = LEXICONS[name]
+    token = F.explode(text.words(text.text("text"))).alias("token")
+    rows = table(spark, sf_dir, "benchmark").select(token).distinct().where(F.length("token").between(low, high))
+    path = scratch_path(spark, f"{name}.txt")
+    writers.write_lines(rows, F.col("token"), "token", path, "\r\n")
+    return readers.read_lexicon(spark, path)
+
 
 def clarity_frame(spark, sf_dir) -> DataFrame:
     """One row per product with the 22 clarity features.
@@ -183,7 +198,7 @@ def clarity_frame(spark, sf_dir) -> DataFrame:
     """
     df = products(spark, sf_dir)
     topics = lexicon.topic_lists(language_topics(spark, sf_dir))
-    brands = table(spark, sf_dir, "part").select(F.lower("p_brand").alias("token")).distinct()
+    lexicons = {name: lexicon_file(spark, sf_dir, name) for name in LEXICONS}
     plain = products(spark, sf_dir, False)
     vectors = word_vectors(spark, sf_dir)
 
@@ -208,8 +223,7 @@ def clarity_frame(spark, sf_dir) -> DataFrame:
         }
     ).drop("_title", "_des", "_cat")
     listed = lexicon.lexicon_counts(
-        plain.select("index", text.words(F.col("title")).alias("tokens")),
-        {"color": color_table(spark), "brand": brands},
+        plain.select("index", text.words(F.col("title")).alias("tokens")), lexicons
     )
     pairs = written(similarity.side_words(plain, _title(), _description()), "side_words")
     scores = [
@@ -222,11 +236,11 @@ def clarity_frame(spark, sf_dir) -> DataFrame:
     )
 
 
-_LISTED = f"""brands AS (SELECT DISTINCT lower(p_brand) AS token FROM part),
+_LISTED = f"""lexicon AS (SELECT DISTINCT unnest({sql.words("coalesce(text, '')")}) AS token FROM benchmark),
   wt AS (SELECT index, unnest(w) AS token FROM toks),
   listed AS (SELECT index, count(*) AS count_words, sum(length(token)) AS count_chars,
-    count(*) FILTER (token IN ({sql.quoted(words.COLORS)})) AS count_color,
-    count(*) FILTER (token IN (SELECT token FROM brands)) AS count_brand FROM wt GROUP BY index)"""
+    {", ".join(f"count(*) FILTER (token IN (SELECT token FROM lexicon WHERE length(token) BETWEEN {a} AND {b})) AS count_{name}"
+               for name, (a, b) in LEXICONS.items())} FROM wt GROUP BY index)"""
 
 _ZERO = {c: f"coalesce({c}, 0)" for c in CLARITY_FEATURES}
 _ZERO |= {f"freq_{k}": f"coalesce(count_{k} / words, 0)" for k in ("num", "adj", "noun", "conj")}

@@ -15,6 +15,7 @@ TABLES = {
     "labels": "doc_id long, quality int, toxic int",
     "pages": "page_id long, url string, html string",
     "embeddings": "vec_id long, embedding array<float>, label int",
+    "benchmark": "item_id long, text string",
 }
 
 # Catalogue files.

@@ -585,7 +585,41 @@ def _(spark, sf_dir):
     return both.select(F.array_join("items", " ").alias("items"), "freq_true", "freq_false")
 
 
-@query("ml_association_rules")
+@query(
+    "ml_itemsets_vertical",
+    f"""WITH {_TITLE_ITEMS}, {_itemset_sql("titles", "a", 8)}
+SELECT len(items) AS size, {sql.joined("items")} AS items, freq FROM asets""",
+)
+def _(spark, sf_dir):
+    """Frequent word sets by intersecting bitsets, level by level."""
+    sets = itemsets.vertical(written(_titles(spark, sf_dir), "titles"), "tokens")
+    return sets.select(
+        F.size("items").cast("long").alias("size"), F.array_join("items", " ").alias("items"), "freq"
+    )
+
+
+_RULES_SQL = f"""WITH {_TITLE_ITEMS}, {_itemset_sql("titles", "a", 8)},
+  total AS (SELECT count(*) AS total FROM titles),
+  parts AS (SELECT list_filter(items, lambda x: x <> c) AS antecedent, c AS consequent, freq
+    FROM (SELECT items, freq, unnest(items) AS c FROM asets WHERE len(items) > 1))
+SELECT {sql.joined("antecedent")} AS antecedent, consequent, round(p.freq / a.freq, 9) AS confidence,
+  round((p.freq / a.freq) / (b.freq / total), 9) AS lift, round(p.freq / total, 9) AS support
+FROM parts p JOIN asets a ON a.items = antecedent JOIN asets b ON b.items = [consequent], total
+WHERE p.freq / a.freq >= 0.5"""
+
+
+@query("ml_rules_vertical", _RULES_SQL)
+def _(spark, sf_dir):
+    """Rules with one consequent from the sets found by bitsets."""
+    titles = written(_titles(spark, sf_dir), "titles")
+    found = itemsets.rules(itemsets.vertical(titles, "tokens"), titles.count())
+    return found.select(
+        F.array_join("antecedent", " ").alias("antecedent"), "consequent",
+        *[F.round(c, 9).alias(c) for c in ("confidence", "lift", "support")],
+    )
+
+
+@query("ml_association_rules", _RULES_SQL.replace("round((p.freq / a.freq) / (b.freq / total), 9) AS lift, ", ""))
 def _(spark, sf_dir):
     rules = itemsets.fit(_titles(spark, sf_dir), "tokens").associationRules
     return rules.select(

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, words
 from ..functions.stems import snowball, stems
-from ..models import grouped, outliers, tagger, topics, training, vectors
+from ..models import boosting, grouped, outliers, tagger, topics, training, vectors
 from ..operators import evaluate, features, lexicon, profile, similarity
 from ..schemas import (
     CATEGORIES,
@@ -521,6 +521,19 @@ def _(spark, sf_dir):
     return evaluate.threshold_sweep(_by_segment(gbt, train, test), ["seg_a"], score="p1")
 
 
+@query("ml_second_order_segments")
+def _(spark, sf_dir):
+    """Second-order boosted trees per segment on the clarity features, with the threshold sweep of the scores."""
+    columns = [c for c in CLARITY_FEATURES if c != "w2v_score"]
+    rows = labelled_clarity(spark, sf_dir).select(
+        "index", F.col("seg_a").alias("group"), F.col("clarity").cast("double").alias("label"), F.array(*columns).alias("x")
+    )
+    train, test = evaluate.split(training.stored(rows, "segment_frame"), 0.8)
+    model = boosting.fit(train, len(columns))
+    scored = written(boosting.scored(test, model, "index", "group", "label"), "predictions")
+    return evaluate.threshold_sweep(scored.where("p1 IS NOT NULL").withColumnRenamed("group", "seg_a"), ["seg_a"], score="p1")
+
+
 def _by_segment(estimator, train: DataFrame, test: DataFrame) -> DataFrame:
     """Scored test rows of one model per segment; the two fits are submitted together."""
 

@@ -103,3 +103,15 @@ def test_words_take_the_tag_of_their_places(spark):
 def test_no_rows(rows):
     model, objective = tagger.fit(rows.limit(0), rounds=2)
     assert len(objective) == 3 and tagger.tagged(rows.limit(0), model, "index").count() == 0
+
+
+def test_tag_counts_of_every_title(spark):
+    import __spark_entry__ as entry
+
+    from .conftest import SMALL
+
+    rows = entry.queries()["feat_hmm_tags"](spark, SMALL).collect()
+    assert len({r["index"] for r in rows}) == len(rows) == 200
+    assert all(0 <= r[f"freq_{k}"] <= 1 and (r[f"count_{k}"] > 0) == (r[f"freq_{k}"] > 0) for r in rows for k in ("num", "adj", "noun", "conj"))
+    objective = [r.objective for r in entry.queries()["ml_hmm_tagger"](spark, SMALL).orderBy("round").collect()]
+    assert len(objective) == 9 and all(b >= a - 1e-7 * abs(a) for a, b in zip(objective, objective[1:]))

@@ -209,7 +209,7 @@ def fit(rows: DataFrame, rounds: int = 8, most: int = WORDS) -> tuple[Model, lis
         objective.append(likelihood + model.prior())
         model = Model.from_counts(classes, start, step, emit)
     objective.append(_expected(rows, model)[0] + model.prior())
-    return model, objective
+    return model, [float(x) for x in objective]
 
 
 def tagged(rows: DataFrame, model: Model, *keep: str) -> DataFrame:

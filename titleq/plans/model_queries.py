@@ -246,6 +246,11 @@ def _fitted_tagger(spark, sf_dir):
     return rows, *tagger.fit(rows)
 
 
+def _times(column: str, values: list[str]):
+    """How many elements of an array are among the values."""
+    return F.size(F.filter(column, lambda x: x.isin(values)))
+
+
 @query("ml_hmm_tagger")
 def _(spark, sf_dir):
     """Objective of the tagger before each round of its fit and at the end."""
@@ -260,7 +265,7 @@ def _(spark, sf_dir):
     kinds = {"num": ["NUM"], "adj": ["ADJ"], "noun": ["NOUN"], "conj": ["SYM", "CCONJ"]}
     out = tagger.tagged(rows, model, "index")
     for kind, names in kinds.items():
-        out = out.withColumn(f"count_{kind}", F.size(F.filter("tags", lambda t, names=names: t.isin(names))))
+        out = out.withColumn(f"count_{kind}", _times("tags", names))
         share = F.coalesce(F.try_divide(F.col(f"count_{kind}"), F.size("tags")), F.lit(0.0))
         out = out.withColumn(f"freq_{kind}", F.round(share, 9))
     return out.drop("tags")

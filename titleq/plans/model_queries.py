@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, words
 from ..functions.stems import snowball, stems
-from ..models import boosting, grouped, outliers, tagger, topics, training, vectors
+from ..models import boosting, grouped, network, outliers, tagger, topics, training, vectors
 from ..operators import evaluate, features, lexicon, profile, similarity
 from ..schemas import (
     CATEGORIES,
@@ -587,6 +587,28 @@ def _(spark, sf_dir):
     return _fold_metrics(over_folds(folded(_title_vectors(spark, sf_dir), 10), _net(spark, sf_dir)))
 
 
+def _segment_a_network(spark, sf_dir) -> DataFrame:
+    """Held-out rows of the clarity networks of the fashion and watches segment, ten contiguous folds."""
+    columns = [c for c in CLARITY_FEATURES if c not in COUNT_COLUMNS + SCORE_COLUMNS]
+    rows = labelled_clarity(spark, sf_dir).where("seg_a")
+    rows = rows.select("index", F.col("clarity").cast("double").alias("label"), F.array(*columns).alias("x"))
+    rows = training.stored(evaluate.with_folds(rows, 10, "index"), "segment_folds")
+    fitted = network.fit(rows, len(columns), network.Settings(linear=True))
+    return network.held_out(rows, fitted, "index")
+
+
+@query("ml_clarity_network")
+def _(spark, sf_dir):
+    """Clarity of segment A by a network with a linear hidden layer; every row is tested."""
+    return _segment_a_network(spark, sf_dir).withColumn("p1", F.round("p1", 9))
+
+
+@query("ml_clarity_network_kfold")
+def _(spark, sf_dir):
+    """Fold metrics of the clarity network."""
+    return _fold_metrics(_segment_a_network(spark, sf_dir))
+
+
 def _forest() -> RandomForestClassifier:
     return RandomForestClassifier(featureSubsetStrategy="50", seed=SEED)
 

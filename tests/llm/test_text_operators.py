@@ -328,3 +328,13 @@ def test_empty_tables(spark, make):
     assert decontam.contamination(make([(1, "a b")]), benchmark).first().contaminated is False
     assert quality.quality_scores(empty, labels, F.lit(True)).count() == 0
     assert mixing.scores(empty, F.lit(False)).count() == 0
+
+
+def test_repeats_are_cut_whatever_the_columns_are_called(make, rows):
+    df = make(rows)
+    names = ("_cut_id", "_CUT_ROW", "_cut_kept", "_cut_id_", "copy", "_row", "a.b")
+    odd = df.select("*", *[F.lit("x").alias(n) for n in names])
+    got = anchors.without_repeats(odd)
+    assert got.columns == odd.columns
+    plain = collections.Counter((r.doc_id, r.text) for r in anchors.without_repeats(df).collect())
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == plain

@@ -259,16 +259,18 @@ def removals(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` reduced to the kept words; rows that lose nothing are left as they are.
 
-    ``n_chars``, if there is such a column, follows the text. No row is dropped.
+    ``n_chars``, if there is such a column, follows the text. No row is dropped, and other columns may have any names.
     """
+    taken = {c.lower() for c in docs.columns}
+    number, row, kept = (next(n for n in (f"_cut_{c}{'_' * i}" for i in range(len(taken) + 1)) if n not in taken) for c in ("id", "row", "kept"))
     cut = _judged(docs).where("n_removed > 0").select(
-        F.col("_id").alias("_cut_id"), F.col("_row").alias("_cut_row"), F.col("kept").alias("_cut_kept")
-    ).dropDuplicates(["_cut_id", "_cut_row"])
+        F.col("_id").alias(number), F.col("_row").alias(row), F.col("kept").alias(kept)
+    ).dropDuplicates([number, row])
     cut = written(cut, "cut_texts")
-    same = (doc_key() == F.col("_cut_id")) & (text_key() == F.col("_cut_row"))
-    keys = cut.select("_cut_id", "_cut_row")
-    text = F.coalesce("_cut_kept", "text")
-    columns = [text.alias(c) if c == "text" else F.when(F.col("_cut_id").isNotNull(), F.length("_cut_kept").cast(t)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    same = (doc_key() == F.col(number)) & (text_key() == F.col(row))
+    keys = cut.select(number, row)
+    text = F.coalesce(kept, "text")
+    columns = [text.alias(c) if c == "text" else F.when(F.col(number).isNotNull(), F.length(kept).cast(t)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes]
     if not fits_broadcast(keys.count(), 64):
         return docs.join(cut, same, "left").select(*columns)
     # Few enough keys to send: only texts that change move.

@@ -13,16 +13,21 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m): smallest neighbour of each node, stored: a join against a stored table is cut where a node is hot."""
+    return written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to its smallest neighbour or itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = _least(both).select("a", F.least("a", "m").alias("m"))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(edges)
     tied = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
     return tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -30,15 +35,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b) of longs; root is the smallest node reached.
 
-    Sums are taken before shuffles, joins against a much-linked node are cut by adaptive execution,
-    and each round is stored, so a lost executor costs one round at most. The number of rounds grows
-    with the logarithm of the longest path. Loops and nulls are ignored.
+    Sums are taken before shuffles. Edges and smallest neighbours are stored before they meet, so adaptive execution
+    deals the edges of a much-linked node to several tasks, and a lost executor costs one step at most.
+    The number of rounds grows with the logarithm of the longest path. Loops and nulls are ignored.
     """
     now = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = written(now, "edges")
     mark = _mark(now)
     while True:
-        now = written(_small_star(_large_star(now).distinct()), "edges")
+        large = written(_large_star(now).distinct(), "edges")
+        now = written(_small_star(large), "edges")
         new = _mark(now)
         if new == mark:
             break

@@ -133,6 +133,24 @@ def test_neighbours_beside_one_very_long_vector(spark):
     assert len(found) == 20 * len(want) and hits >= 0.95 * len(found)
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "clusters"])
+def test_recall_on_a_full_shard_of_any_lengths(kind):
+    """One graph of a full shard; lengths as they come, or spread over clusters."""
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(graph_index.SHARD_ROWS, 64))
+    if kind == "clusters":
+        vectors = 0.4 * vectors + rng.normal(size=(200, 64))[rng.integers(0, 200, len(vectors))]
+        vectors *= rng.lognormal(0, 0.5, len(vectors))[:, None]
+    graph = graph_index.build(vectors)
+    queries = vectors[::160]
+    found = graph.best(np.hstack([queries, np.zeros((len(queries), 1))]).astype(np.float32), 21, graph_index.SEARCH_BEAM)
+    score = np.where(found >= 0, np.einsum("ijk,ik->ij", vectors[np.maximum(found, 0)], queries), -np.inf)
+    got = np.take_along_axis(found, np.argsort(-score, axis=1, kind="stable")[:, :20], axis=1)
+    want = np.argsort(-(queries @ vectors.T), axis=1, kind="stable")[:, :20]
+    recall = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(got.tolist(), want.tolist())])
+    assert recall >= 0.9, recall
+
+
 def test_neighbours_of_few(spark):
     schema = "vec_id long, embedding array<float>"
     for rows in ([], [(0, [1.0, 2.0])], [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (7, [0.5, 0.5]), (3, [0.5, 0.5])]):

@@ -8,7 +8,7 @@ are its neighbours.
 The largest inner product is the least Euclidean distance after one more coordinate is added that
 gives all nodes of a shard the same length (queries have zero there). Graphs are built by that distance;
 the coordinate is kept less that length, so it is small for short vectors however long the longest is.
-Queries rank nodes by the inner product itself. A graph starts with random
+Queries rank nodes by the inner product itself, and double their beam until their best nodes stay. A graph starts with random
 edges. Nodes are then taken in random order, in batches: a greedy beam search from the node nearest
 to the mean and a few random ones proposes neighbours; pruning keeps the closest and drops those that are, ``ALPHA`` times
 over, closer to a kept one; edges are added backwards and pruned likewise. All searches of a batch
@@ -33,8 +33,10 @@ DEGREE = 32
 #: Neighbours that backward edges may add up to before a list is pruned, and random ones at the start.
 MOST = 48
 RANDOM = 24
-#: Nodes from which a search starts: the one nearest to the mean, and random ones.
+#: Nodes from which a search starts: the one nearest to the mean, random ones, and the longest ones, which have
+#: large products with many queries.
 ENTRIES = 16
+LONGEST = 48
 BEAM = 64
 SEARCH_BEAM = 128
 ALPHA = 1.2
@@ -121,6 +123,25 @@ class Graph:
         return nodes, dist
 
 
+    def best(self, queries: np.ndarray, k: int, beam: int) -> np.ndarray:
+        """Nodes by falling inner product, at least the ``k`` first ones settled; -1 where fewer were met.
+
+        The beam of a query is doubled until its ``k`` best stay the same, or it holds all nodes.
+        """
+        out = np.full((len(queries), beam), -1, np.int64)
+        todo, last = np.arange(len(queries)), None
+        while len(todo):
+            nodes, _ = self.search(queries[todo], beam, inner=True)
+            keep = min(out.shape[1], nodes.shape[1])
+            out[todo, :keep] = nodes[:, :keep]
+            if beam >= len(self.points):
+                break
+            moved = np.ones(len(todo), bool) if last is None else (nodes[:, :k] != last).any(axis=1)
+            todo, last = todo[moved], nodes[moved, :k]
+            beam *= 2
+        return out
+
+
 def prune(points: np.ndarray, centre: np.ndarray, nodes: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Rows of at most ``degree`` diverse neighbours of ``centre`` out of ``nodes`` (-1: none)."""
     order = np.argsort(nodes, axis=1, kind="stable")
@@ -172,7 +193,8 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
         edges[:, :width] = _once((np.arange(n)[:, None] + rng.integers(1, n, (n, width))) % n)
     order = rng.permutation(n)
     middle = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
-    graph = Graph(points, edges, np.unique(np.append(order[: ENTRIES - 1], middle)))
+    longest_nodes = np.argsort(-lengths, kind="stable")[:LONGEST]
+    graph = Graph(points, edges, np.unique(np.concatenate([order[: ENTRIES - 1], [middle], longest_nodes])))
     for i in range(0, n, BATCH):
         batch = order[i : i + BATCH]
         found, _ = graph.search(points[batch], beam)
@@ -247,7 +269,7 @@ def nearest(graphs: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BE
         for i in range(0, len(asked), 256):
             part = asked.iloc[i : i + 256]
             vec = _stack(part["vec"])
-            found, _ = graph.search(np.hstack([vec, np.zeros((len(vec), 1))]).astype(np.float32), beam, inner=True)
+            found = graph.best(np.hstack([vec, np.zeros((len(vec), 1))]).astype(np.float32), k + 1, max(beam, k + 1))
             for own_id, q, nodes in zip(part["id"].tolist(), vec, found):
                 nodes = nodes[nodes >= 0]
                 score = (vectors[nodes] * q).sum(axis=1)

@@ -74,6 +74,8 @@ def test_html(spark, markup, plain):
     assert one(spark, markup, html.html_to_text) == plain
 
 
+@pytest.mark.filterwarnings("ignore:invalid escape:DeprecationWarning")
+@pytest.mark.filterwarnings("ignore:.*invalid escape:SyntaxWarning")
 def test_escapes(spark):
     for value in ("\\u00e9t\\xe9 \\n x", "a\\\\n", "\\101\\q", "plain", "\\U0001F600"):
         assert one(spark, value, html.decode_escapes) == value.encode().decode("unicode_escape")

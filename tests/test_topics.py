@@ -88,7 +88,7 @@ def test_planted_topics_are_found(titles, limit, monkeypatch):
         monkeypatch.setattr(topics, "BROADCAST_BYTES", limit)
     terms = topics.dictionary(titles, "tokens")
     words = written(topics.bags(titles, "tokens", terms, "index", "model"), "bags")
-    learnt = topics.learn(words, "index", terms.count(), k=3, rounds=25, batch_share=0.4)
+    learnt = topics.learn(words, "index", terms.count(), k=3, rounds=14, batch_share=0.8)
     for (model, topic), found in strongest(learnt, terms).items():
         assert max(sum(t[0] == c for t in found) for c in "xyz") >= 11, (model, topic, found)
     shares = learnt.shares(words, "index").collect()

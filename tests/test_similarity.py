@@ -196,3 +196,47 @@ def test_lexicon_counts_by_either_lookup(spark, limit, monkeypatch):
     lists = {"color": spark.createDataFrame([("red",)], "token string"), "brand": spark.createDataFrame([("acme",), ("red",)], "token string")}
     got = {r["index"]: (r.count_color, r.count_brand, r.count_words, r.count_chars, r.freq_color) for r in lexicon.lexicon_counts(titles, lists).collect()}
     assert got == {1: (2, 2, 3, 10, 2 / 3), 2: (0, 0, 0, 0, 0.0), 3: (0, 0, 0, 0, 0.0), 4: (1, 2, 2, 7, 0.5)}
+
+
+@pytest.mark.parametrize("numbered", [False, True])
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_gathered_sums_equal_broadcast_sums(spark, words, table, monkeypatch, numbered, batch):
+    """With a table too large for a broadcast the scores stay; ids may repeat, cells be null, keys be null."""
+    rows = [(w, [float(x) for x in v]) for w, v in table.items()]
+    rows += [("w5", [1.0, None, 2.0, 0.0, 1.0, 3.0]), ("w6", None), ("w7", [float("nan")] + [1.0] * 5), ("w8", rows[8][1])]
+    known = spark.createDataFrame(rows, "vec_id string, vec array<double>")
+    key = F.col("token")
+    if numbered:
+        known, key = known.withColumn("vec_id", F.crc32("vec_id")), F.crc32("token")
+    vecs = similarity.WordVectors(known, key, len(rows), DIM)
+    more = spark.createDataFrame([(None, "t", "w1", 2, 0), (None, "d", "w2", 1, 0), (95, "t", "w6", 1, 0), (95, "d", "w1", 1, 0), (96, "t", "w7", 1, 0)], "index long, side string, token string, n long, first int")
+    all_words = words.unionByName(more)
+    texts = all_words.where("side = 't'").groupBy("index", "token").agg(F.sum("n").alias("n")).where("token IS NOT NULL")
+
+    def results():
+        scores = similarity.vector_scores(all_words, vecs)
+        sums = vecs.summed(texts, "index", columns=("vec", "unit"))
+        rounded = [F.transform(c, lambda x: F.round(x, 9)).alias(c) for c in ("vec", "unit")]
+        scores = scores.select("index", *[F.round(c, 9).alias(c) for c in ("w2v_score", "sp_score")])
+        return [sorted(map(repr, df.collect())) for df in (scores, sums.select("index", "known", *rounded))]
+
+    want = results()
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(similarity, "GROUP_WORDS", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = results()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [[r.replace("-0.0,", "0.0,") for r in g] for g in got] == [[r.replace("-0.0,", "0.0,") for r in w] for w in want]
+
+
+def test_gathered_words_travel_without_vectors(spark, monkeypatch):
+    """A vector is sent once to a group of texts, not once for each word."""
+    rows = spark.range(2000).select((F.col("id") % 500).alias("index"), F.lit("w").alias("token"), F.lit(1).alias("n"))
+    vecs = spark.createDataFrame([("w", [1.0, 2.0])], "vec_id string, vec array<double>")
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 0)
+    out = similarity.WordVectors(vecs, F.col("token"), 1, 2).summed(rows, "index")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate [_group" in plan
+    assert {(r.known, tuple(r.vec)) for r in out.collect()} == {(4, (4.0, 8.0))}

@@ -27,6 +27,8 @@ from ..session import written
 ROUNDS = 20
 BATCH_SHARE = 0.05
 DELAY, DECAY = 1024, 0.51
+#: Size of the most frequent terms' weights of one model that a round broadcasts: all rounds together pass through the driver.
+ROUND_BYTES = 8 << 20
 #: A document's shares are final when they change by less on average, or after so many updates.
 CHANGE, UPDATES = 1e-3, 100
 
@@ -47,10 +49,10 @@ def dictionary(rows: DataFrame, tokens: str) -> DataFrame:
 def frequent_first(rows: DataFrame, table: DataFrame, terms: int, row_bytes: int, key: str, on: list[str]) -> DataFrame:
     """Inner join of rows with a table whose ``key`` numbers terms by falling frequency.
 
-    As many of the most frequent terms as fit the broadcast limit meet their rows by a broadcast, so hot words
+    As many of the most frequent terms as fit a round's broadcast meet their rows by a broadcast, so hot words
     don't move; the rest, none of it hot, is joined by a shuffle. ``terms`` is the number of all terms.
     """
-    limit = BROADCAST_BYTES // row_bytes
+    limit = min(ROUND_BYTES, BROADCAST_BYTES) // row_bytes
     head = F.col(key) < limit
     found = rows.where(head).join(F.broadcast(table.where(head)), on)
     return found if terms <= limit else found.unionByName(rows.where(~head).join(table.where(~head), on))

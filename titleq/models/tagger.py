@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tags as rules
+from ..session import written
 
 TAGS = ["NUM", "SYM", "PUNCT", "CCONJ", "FUNC", "ADV", "ADJ", "VERB", "NOUN"]
 OPEN = ["ADV", "ADJ", "VERB", "NOUN"]
@@ -155,20 +156,36 @@ def _numbers(batch: pa.RecordBatch, classes: Classes) -> tuple[np.ndarray, np.nd
     return np.array(flat, np.int64), ends[:-1] - ends[0], np.diff(ends)
 
 
+def _coded(rows: DataFrame, classes: Classes) -> DataFrame:
+    """(numbers array<int>): the classes of the tokens of each row (words, rules); stored, as every round reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, first, _ = _numbers(batch, classes)
+            ends = pa.array(np.append(first, len(flat)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(flat.astype(np.int32)))], names=["numbers"])
+
+    return written(rows.select("words", "rules").mapInArrow(run, "numbers array<int>"), "token_classes")
+
+
 def _expected(rows: DataFrame, model: Model) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """(log likelihood, start, step and emission counts) over all rows (words, rules)."""
+    """(log likelihood, start, step and emission counts) over all rows (numbers) of ``_coded``."""
     t = len(TAGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = model.classes.size
         likelihood, start, steps, emit = 0.0, np.zeros(t), np.zeros((t, t)), np.zeros((size, t))
         for batch in batches:
-            flat, first, lengths = _numbers(batch, model.classes)
+            lists = batch.column("numbers")
+            ends, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+            first, lengths = ends[:-1] - ends[0], np.diff(ends)
             for part in _chunks(lengths):
                 seqs = _padded(flat, first[part], lengths[part])
                 log, s, m, shares = model.expect(seqs, lengths[part])
                 likelihood, start, steps = likelihood + log, start + s, steps + m
-                np.add.at(emit, seqs.ravel(), shares.reshape(-1, t))
+                cells = seqs.ravel()
+                for i in range(t):
+                    emit[:, i] += np.bincount(cells, shares[:, :, i].ravel(), size)
         used = np.flatnonzero(emit.any(axis=1))
         # Rows below zero carry the likelihood, the starts and the steps.
         number = np.concatenate([[-1, -2], -3 - np.arange(t), used])
@@ -178,7 +195,7 @@ def _expected(rows: DataFrame, model: Model) -> tuple[float, np.ndarray, np.ndar
         )
 
     cells = [f"t{i}" for i in range(t)]
-    sums = rows.select("words", "rules").mapInArrow(run, "number int, " + ", ".join(f"{c} double" for c in cells))
+    sums = rows.select("numbers").mapInArrow(run, "number int, " + ", ".join(f"{c} double" for c in cells))
     table = sums.groupBy("number").agg(*[F.sum(c).alias(c) for c in cells]).toArrow()  # one row per class at most
     emit, head = np.zeros((model.classes.size, t)), np.zeros((t + 2, t))
     if table.num_rows:
@@ -204,11 +221,12 @@ def fit(rows: DataFrame, rounds: int = 8, most: int = WORDS) -> tuple[Model, lis
     zero = np.zeros((classes.size, t))
     model = Model.from_counts(classes, np.zeros(t), np.zeros((t, t)), zero)
     objective = []
+    coded = _coded(rows, classes)
     for _ in range(rounds):
-        likelihood, start, step, emit = _expected(rows, model)
+        likelihood, start, step, emit = _expected(coded, model)
         objective.append(likelihood + model.prior())
         model = Model.from_counts(classes, start, step, emit)
-    objective.append(_expected(rows, model)[0] + model.prior())
+    objective.append(_expected(coded, model)[0] + model.prior())
     return model, [float(x) for x in objective]
 
 

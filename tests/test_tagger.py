@@ -115,3 +115,16 @@ def test_tag_counts_of_every_title(spark):
     assert all(0 <= r[f"freq_{k}"] <= 1 and (r[f"count_{k}"] > 0) == (r[f"freq_{k}"] > 0) for r in rows for k in ("num", "adj", "noun", "conj"))
     objective = [r.objective for r in entry.queries()["ml_hmm_tagger"](spark, SMALL).orderBy("round").collect()]
     assert len(objective) == 9 and all(b >= a - 1e-7 * abs(a) for a, b in zip(objective, objective[1:]))
+
+
+def test_tokens_are_numbered_once(spark, monkeypatch):
+    """The rounds read stored numbers; only the first scan looks at words."""
+    rows = written(tagger.tokens_of(spark.createDataFrame([(1, "a red shoe"), (2, ""), (3, "2 red"), (4, None)], "index int, title string"), "title", "index"), "tokens")
+    coded = tagger._coded(rows, tagger.frequent_words(rows, 2))
+    assert coded.columns == ["numbers"]
+    assert sorted(len(r.numbers) for r in coded.collect()) == [0, 0, 2, 3]
+    seen = []
+    inner = tagger._expected
+    monkeypatch.setattr(tagger, "_expected", lambda r, m: (seen.append(r.columns), inner(r, m))[1])
+    tagger.fit(rows, rounds=3)
+    assert seen == [["numbers"]] * 4

@@ -159,3 +159,15 @@ def test_titles_have_shares(spark):
     rows = entry.queries()["ml_lda_shares"](spark, SMALL).collect()
     assert len({r["index"] for r in rows}) == len(rows) > 100
     assert all(sum(r[f"topic_{i}"] for i in range(5)) == pytest.approx(1, abs=1e-5) for r in rows)
+
+
+def test_a_round_broadcasts_few_weights(spark, monkeypatch):
+    """Terms beyond a round's broadcast meet their words by a shuffle, with the same rows."""
+    rows = spark.range(300).select((F.col("id") % 50).alias("term_id"), F.lit(1).alias("model"), F.col("id").alias("index"))
+    table = spark.range(50).select(F.col("id").alias("term_id"), F.lit(1).alias("model"), F.rand(1).alias("w"))
+    want = sorted(map(tuple, topics.frequent_first(rows, table, 50, 88, "term_id", ["model", "term_id"]).collect()))
+    assert topics.ROUND_BYTES * 2 * (topics.ROUNDS + 2) < 500 << 20
+    monkeypatch.setattr(topics, "ROUND_BYTES", 10 * 88)
+    found = topics.frequent_first(rows, table, 50, 88, "term_id", ["model", "term_id"])
+    assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == want

@@ -28,6 +28,8 @@ from ..session import written
 TREES, SAMPLE = 200, 256
 #: Rows of the reference set of the local outlier factor, and neighbours.
 REFERENCE, NEIGHBOURS = 20_000, 20
+#: Distances that a task holds at once: a few arrays of 8 MB.
+CELLS = 1 << 20
 EULER = 0.5772156649015329
 
 
@@ -172,7 +174,7 @@ def _nearest(x: np.ndarray, reference: np.ndarray, k: int, drop_self: bool) -> t
 
     ``drop_self`` leaves out one reference row that equals the row.
     """
-    step = max(1, (1 << 22) // max(1, len(reference)))
+    step = max(1, CELLS // max(1, len(reference)))
     distances, places = [], []
     for at in range(0, len(x), step):
         part = x[at : at + step]

@@ -4,10 +4,12 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from titleq.operators import layout, lexicon, similarity
+from titleq.session import written
 
 VOCAB = [f"w{i}" for i in range(40)]
 DIM = 6
@@ -240,3 +242,39 @@ def test_gathered_words_travel_without_vectors(spark, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "Aggregate [_group" in plan
     assert {(r.known, tuple(r.vec)) for r in out.collect()} == {(4, (4.0, 8.0))}
+
+
+def test_copies_of_the_vectors_grow_as_the_words():
+    """Ten times the words and vectors: no more than about ten times the vectors are sent to groups."""
+    sent = [similarity.group_count(n * 140_000_000, n * 100_000, 200, 12) * n * 100_000 for n in (6, 60, 600)]
+    assert sent[1] <= 12 * sent[0] and sent[2] <= 12 * sent[1]
+
+
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_pairs_give_the_scores_of_side_words(spark, words, table, tmp_path, monkeypatch, limit):
+    """Words paired before they are stored: the same scores, and no shuffle of the stored words by word and text."""
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", limit)
+    vecs = similarity.WordVectors(spark.createDataFrame([(w, [float(x) for x in v]) for w, v in table.items()], "vec_id string, vec array<double>"), F.col("token"), len(table), DIM)
+    similarity.paired(words).write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+
+    def results(rows):
+        long = rows.withColumn("token", F.when(F.length("token") >= 3, F.col("token")))
+        scores = similarity.vector_scores(rows, vecs).join(similarity.tfidf_corpus(long, F.lit(50)), "index", "outer")
+        return sorted(map(repr, scores.select("index", *[F.round(c, 9).alias(c) for c in ("w2v_score", "sp_score", "tf_score")]).collect()))
+
+    assert results(pairs) == results(words)
+    stored = []
+    monkeypatch.setattr(similarity, "written", lambda df, name, *by: stored.append(name) or written(df, name, *by))
+    similarity.tfidf_corpus(pairs, F.lit(50)).collect()
+    assert stored == ["terms"]
+
+
+def test_unit_vectors_of_a_group_are_not_stored():
+    """One copy of the vectors is held, and the batches they came in are let go."""
+    vec = pa.array([[3.0, 4.0], [0.0, 0.0]], pa.list_(pa.float64()))
+    parts = [pa.RecordBatch.from_arrays([pa.array([7, 9], pa.int64()), vec], names=["vec_id", "vec"])]
+    held = similarity._Held(parts, 2, ("vec", "unit"))
+    assert not parts and list(held.sums) == ["vec"]
+    found = held.weighted("unit", held.places(pa.array([9, 7], pa.int64())), np.array([1.0, 5.0]))
+    assert np.allclose(found, [[0.0, 0.0], [3.0, 4.0]])

@@ -159,3 +159,23 @@ def test_price_keeps_unlisted_countries(spark):
     df = spark.createDataFrame([("my", 2.0), ("sg", 2.0), ("ph", 2.0), (None, 2.0)], "c string, p double")
     price = features.price_in(F.col("p"), F.col("c"), {"my": 12.0, "sg": 37.0})
     assert [r[0] for r in df.select(price).collect()] == [24.0, 74.0, 2.0, 2.0]
+
+
+@pytest.mark.parametrize("most", [0, 3, 1 << 18])
+def test_frequent_words_are_stemmed_once(spark, monkeypatch, most):
+    """Looked up or not, every word of a list gets its stem; texts may be empty, ids null or repeated."""
+    monkeypatch.setattr(features, "STEMMED_WORDS", most)
+    listed = [SNOWBALL[::2], [], ["hoping"] * 5 + ["x" * 70 + "ing", "a"], ["hoping", "gas"]]
+    rows = [(i, a, b) for i, a, b in zip([1, None, 2, 2], listed, listed[::-1])]
+    df = spark.createDataFrame(rows, "index long, a array<string>, b array<string>").repartition(2)
+    want = df.select("index", *[stems.stems(F.col(c)).alias(c) for c in "ab"])
+    got = features.stemmed_lists(df, ["a", "b"])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_looked_up_words_are_not_stemmed_again(spark):
+    """The stem of a frequent word is taken once, not for each of its places."""
+    df = spark.range(50).select(F.col("id").alias("index"), F.array(F.lit("hoping"), F.lit("gas")).alias("a"))
+    kinds = iter([lambda w: F.left(w, F.lit(3)), lambda w: F.raise_error(F.lit("stemmed again")).cast("string")])
+    got = features.stemmed_lists(df, ["a"], lambda w: next(kinds)(w))
+    assert {tuple(r.a) for r in got.collect()} == {("hop", "gas")}

@@ -251,3 +251,23 @@ def test_batches_are_bounded_by_bytes(spark):
         assert spark.conf.get(key) == "1m"
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_a_larger_beam_expands_no_node_again():
+    """A query's beam doubles from what it met; each node is expanded once."""
+    rng = np.random.default_rng(4)
+    graph = graph_index.build(rng.normal(size=(1500, 64)))
+    expanded = []
+
+    class Edges:
+        def __init__(self, edges):
+            self.edges = edges
+
+        def __getitem__(self, at):
+            expanded.extend(at[at >= 0].tolist())
+            return self.edges[at]
+
+    graph.edges = Edges(graph.edges)
+    found = graph.best(np.append(rng.normal(size=64), 0.0)[None].astype(np.float32), 21, graph_index.SEARCH_BEAM)
+    assert (found >= 0).all() and len(expanded) > 2 * graph_index.SEARCH_BEAM
+    assert len(set(expanded)) == len(expanded)

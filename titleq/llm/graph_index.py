@@ -39,6 +39,8 @@ ENTRIES = 16
 LONGEST = 48
 BEAM = 64
 SEARCH_BEAM = 128
+#: Nodes of a beam that a query expands at once.
+EXPANDED = 4
 ALPHA = 1.2
 BATCH = 512
 #: Nodes of a shard, and queries that one task puts to a shard.
@@ -78,11 +80,8 @@ class Graph:
         self.points, self.edges, self.entries = points, edges, entries
         self.squares = np.einsum("ij,ij->i", points, points)
 
-    def search(self, queries: np.ndarray, beam: int, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(nodes, squared distances), nearest first, -1 and inf where fewer were met.
-
-        ``inner`` takes the negative inner product for the distance.
-        """
+    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, squared distances), nearest first, -1 and inf where fewer were met."""
         n, m = len(queries), len(self.points)
         beam = min(max(beam, len(self.entries)), m)
         rows = np.arange(n)
@@ -90,9 +89,7 @@ class Graph:
         dist = np.full((n, beam), np.inf, np.float32)
         done = np.ones((n, beam), bool)
         own = np.einsum("ij,ij->i", queries, queries)
-        first = -queries @ self.points[self.entries].T
-        if not inner:
-            first = own[:, None] + self.squares[self.entries] + 2 * first
+        first = own[:, None] + self.squares[self.entries] - 2 * (queries @ self.points[self.entries].T)
         order = np.argsort(first, axis=1, kind="stable")
         ahead = len(self.entries)
         nodes[:, :ahead] = self.entries[order]
@@ -112,7 +109,7 @@ class Graph:
             fresh = (near >= 0) & ~met[active[:, None], near]
             met[active[:, None], near] = True
             dots = (self.points[near] @ queries[active][:, :, None])[:, :, 0]
-            gap = -dots if inner else own[active][:, None] + self.squares[near] - 2 * dots
+            gap = own[active][:, None] + self.squares[near] - 2 * dots
             gap[~fresh] = np.inf
             all_dist = np.concatenate([dist[active], gap], axis=1)
             order = np.argsort(all_dist, axis=1, kind="stable")[:, :beam]
@@ -122,25 +119,68 @@ class Graph:
             done[active] = pick(done[active], ~fresh)
         return nodes, dist
 
-
     def best(self, queries: np.ndarray, k: int, beam: int) -> np.ndarray:
         """Nodes by falling inner product, at least the ``k`` first ones settled; -1 where fewer were met.
 
-        The beam of a query is doubled until its ``k`` best stay the same, or it holds all nodes.
+        The beam of a query is doubled until its ``k`` best stay the same, or it holds all nodes. A doubled beam
+        goes on from the nodes met so far.
         """
-        out = np.full((len(queries), beam), -1, np.int64)
-        todo, last = np.arange(len(queries)), None
+        n, m = len(queries), len(self.points)
+        out = np.full((n, beam), -1, np.int64)
+        products = np.full((n, m + 1), -np.inf, np.float32)  # of the nodes met; the last column stands for no node
+        products[:, self.entries] = queries @ self.points[self.entries].T
+        done = np.zeros((n, m + 1), bool)
+        todo, last = np.arange(n), None
         while len(todo):
-            nodes, _ = self.search(queries[todo], beam, inner=True)
+            nodes = self._settled(queries, products, done, todo, min(max(beam, len(self.entries)), m))
             keep = min(out.shape[1], nodes.shape[1])
             out[todo, :keep] = nodes[:, :keep]
-            if beam >= len(self.points):
+            if beam >= m:
                 break
             moved = np.ones(len(todo), bool) if last is None else (nodes[:, :k] != last).any(axis=1)
             todo, last = todo[moved], nodes[moved, :k]
             beam *= 2
         return out
 
+    def _settled(self, queries: np.ndarray, products: np.ndarray, done: np.ndarray, rows: np.ndarray, beam: int) -> np.ndarray:
+        """The beams of some queries, best first, when all their nodes are expanded; notes what was met and expanded."""
+        met = -products[rows, :-1]
+        nodes = np.argpartition(met, beam - 1, axis=1)[:, :beam]
+        gap = np.take_along_axis(met, nodes, axis=1)
+        closed = done[rows[:, None], nodes] | np.isinf(gap)
+        some = min(EXPANDED, beam)
+        stamp = np.empty(products.shape, np.int32)
+        active = np.arange(len(rows))
+        while True:
+            active = active[~closed[active].all(axis=1)]
+            if not len(active):
+                break
+            who, line = rows[active], np.arange(len(active))[:, None]
+            first = np.argpartition(np.where(closed[active], np.inf, gap[active]), some - 1, axis=1)[:, :some]
+            open_ = ~closed[active[:, None], first]
+            at = np.where(open_, nodes[active[:, None], first], -1)
+            closed[active[:, None], first] = True
+            done[who[:, None], at] = True
+            near = np.where(open_[:, :, None], self.edges[at], -1).reshape(len(active), -1)
+            # Met by two of the expanded nodes, a node counts at one of its places.
+            places = np.arange(near.shape[1])
+            stamp[line, near] = places
+            fresh = (near >= 0) & np.isinf(products[who[:, None], near]) & (stamp[line, near] == places)
+            r, c = np.nonzero(fresh)
+            new = near[r, c]
+            dots = np.einsum("ij,ij->i", self.points[new], queries[who[r]])
+            products[who[r], new] = dots
+            more = np.full(near.shape, np.inf, np.float32)
+            more[r, c] = -dots
+            all_gaps = np.concatenate([gap[active], more], axis=1)
+            kept = np.argpartition(all_gaps, beam - 1, axis=1)[:, :beam]
+            pick = lambda a, b: np.take_along_axis(np.concatenate([a, b], axis=1), kept, axis=1)  # noqa: B023, E731
+            gap[active] = np.take_along_axis(all_gaps, kept, axis=1)
+            nodes[active] = pick(nodes[active], near)
+            closed[active] = pick(closed[active], ~fresh)
+        order = np.lexsort((nodes, gap), axis=1)
+        return np.take_along_axis(np.where(np.isinf(gap), -1, nodes), order, axis=1)
+
 
 def prune(points: np.ndarray, centre: np.ndarray, nodes: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Rows of at most ``degree`` diverse neighbours of ``centre`` out of ``nodes`` (-1: none)."""

@@ -278,3 +278,51 @@ def test_unit_vectors_of_a_group_are_not_stored():
     assert not parts and list(held.sums) == ["vec"]
     found = held.weighted("unit", held.places(pa.array([9, 7], pa.int64())), np.array([1.0, 5.0]))
     assert np.allclose(found, [[0.0, 0.0], [3.0, 4.0]])
+
+
+def test_copies_of_the_vectors_are_no_more_bytes_than_the_words():
+    """At 6 GB the float vectors sent to groups take less than the words sent with them, 8 bytes each."""
+    words, vecs = 826_000_000, 615_384
+    assert similarity.group_count(words, vecs, 200, 12) * vecs * 4 * 64 <= 8 * words
+
+
+def test_float_vectors_travel_and_are_held_as_floats(spark, monkeypatch):
+    """Their sums are those of the same numbers as doubles, equal ids included."""
+    rows = [("w", [0.1, 0.2]), ("v", [0.3, 0.7]), ("v", [0.1, 0.1])]
+    words = spark.createDataFrame([(1, "w", 3), (1, "v", 1), (2, "v", 2)], "index long, token string, n long")
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 0)
+
+    def results(table):
+        out = similarity.WordVectors(table, F.col("token"), 3, 2).summed(words, "index", columns=("vec", "unit"))
+        return out, sorted(map(tuple, out.collect()))
+
+    floats = spark.createDataFrame(rows, "vec_id string, vec array<float>")
+    plan, got = results(floats)
+    assert got == results(floats.withColumn("vec", F.col("vec").cast("array<double>")))[1]
+    assert "cast(vec" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    vec = pa.array([[0.5, 1.0]], pa.list_(pa.float32()))
+    held = similarity._Held([pa.RecordBatch.from_arrays([pa.array(["w"]), vec], names=["vec_id", "vec"])], 2, ("vec",))
+    assert held.sums["vec"].dtype == np.float32
+
+
+def test_neighbouring_words_of_a_key_are_one_row(monkeypatch):
+    monkeypatch.setattr(similarity, "PACK", 2)
+    cells = {"k": [1, 1, 1, None, None, 2, 1], "vec_id": ["a", "b", "c", "d", "e", "f", "g"], "_w0": [1.0, None, 2.0, 3.0, 4.0, 5.0, None]}
+    batch = pa.RecordBatch.from_pydict(cells)
+    (packed,) = similarity._pack("k", ["_w0"])([batch])
+    assert packed.column("k").to_pylist() == [1, 1, None, 2, 1]
+    assert packed.column("vec_ids").to_pylist() == [["a", "b"], ["c"], ["d", "e"], ["f"], ["g"]]
+    assert similarity._unpacked(packed, "k", ["_w0"]).to_pydict() == cells
+    assert similarity._unpacked(packed.slice(1, 3), "k", ["_w0"]).to_pydict() == {c: v[2:6] for c, v in cells.items()}
+
+
+def test_terms_of_a_small_share_of_the_corpus_do_not_travel(spark, tmp_path, monkeypatch):
+    """5,000 terms of equal shares: their weights fit a broadcast, so no stored word is shuffled by term."""
+    rows = spark.range(20_000).select((F.col("id") % 100).alias("index"), (F.col("id") % 5000).cast("string").alias("token"), F.lit(1).alias("n_t"), F.lit(1).alias("n_d"))
+    rows.write.parquet(str(tmp_path / "pairs"))
+    asked = []
+    monkeypatch.setattr(similarity, "split_lookup", lambda *a, **b: asked.append((b["freq"], b["parts"])) or layout.split_lookup(*a, **b))
+    out = similarity.tfidf_corpus(spark.read.parquet(str(tmp_path / "pairs")), F.lit(200))
+    assert {round(r.tf_score, 9) for r in out.collect()} == {1.0}
+    (freq, parts), = asked
+    assert layout.hot_keys(freq, "token", parts).count() == 5000 and parts * 200 <= layout.BROADCAST_BYTES

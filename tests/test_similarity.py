@@ -62,6 +62,48 @@ def test_every_index_keeps_a_row(words, texts):
     assert words.select("index").distinct().count() == len(texts)
 
 
+def _odd_texts(spark):
+    """Rows whose index repeats or is null, texts that are null or empty, words of both texts."""
+    rows = [
+        (1, "b a b", "a c a é"), (1, "a", "b"), (2, None, "c c"), (2, "", None), (3, None, None), (None, "a a", "b"), (None, "", "a"),
+        (4, "x", ""), (5, "b", "b"), (5, "", ""),
+    ]
+    df = spark.createDataFrame(rows, "index long, title string, description string")
+    split = lambda c: F.array_remove(F.split(c, " "), "")
+    return rows, df, split("title"), split("description")
+
+
+def test_words_are_counted_as_in_a_loop(spark):
+    rows, df, title, description = _odd_texts(spark)
+    n, first = Counter(), {}
+    for index, *texts in rows:
+        for side, value in zip("td", texts):
+            words = [w for w in (value or "").split(" ") if w]
+            for at, w in enumerate(words):
+                n[index, side, w] += 1
+                first[index, side, w] = min(at, first.get((index, side, w), at))
+            if not words:
+                n[index, side, None] += 0
+    got = [tuple(r) for r in similarity.side_words(df, title, description).collect()]
+    assert len(got) == len(n)
+    assert {r[:3]: r[3:] for r in got} == {k: (v, first.get(k)) for k, v in n.items()}
+    pairs = [tuple(r) for r in similarity.paired_words(df, title, description).collect()]
+    keys = {(index, w) for index, _, w in n}
+    assert len(pairs) == len(keys)
+    assert {r[:2]: r[2:] for r in pairs} == {(i, w): (n[i, "t", w], n[i, "d", w]) for i, w in keys}
+
+
+def test_words_need_no_hash_table_of_a_task(spark):
+    """Words are counted inside their index: grouped by words, a large task spills them all."""
+    _, df, title, description = _odd_texts(spark)
+    for words in (similarity.side_words(df, title, description), similarity.paired_words(df, title, description)):
+        plan = words._jdf.queryExecution().executedPlan().toString()
+        keys = [line.split("keys=[")[1].split("]")[0] for line in plan.splitlines() if "keys=[" in line]
+        assert keys and all(k.split("#")[0] == "index" and "," not in k for k in keys)
+        assert plan.count("Exchange") == 1
+        assert plan.count("sort_array") == 1  # computed once
+
+
 def test_pair_mean(words, texts, table, vectors):
     got = {r["index"]: r.w2v_score for r in similarity.pair_mean(words, vectors).collect()}
     for i, t, d in texts:

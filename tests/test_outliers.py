@@ -127,3 +127,38 @@ def test_two_of_a_hundred_are_flagged(spark, name):
         flagged = [r.score for r in part if r.outlier]
         assert 0 < len(flagged) <= 0.02 * len(part) + 1
         assert min(flagged) > max(r.score for r in part if not r.outlier)
+
+
+def test_the_reference_is_the_whole_table(spark, monkeypatch):
+    """Density counts all rows, over however many cells, and ties go by the hash of the key as in one loop over all rows."""
+    monkeypatch.setattr(outliers, "CELL_ROWS", 300)
+    monkeypatch.setattr(outliers, "QUERIES", 250)
+    monkeypatch.setattr(outliers, "HELD_ROWS", 500)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2500, 3)) ** 3
+    x[:800] = rng.integers(0, 4, (800, 3))  # many equal rows and many ties
+    x[800:1400] = x[800]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None)]
+    df = written(spark.createDataFrame(rows, "index long, x array<double>").repartition(5), "ties")
+    model = outliers.density(df, "index", "x", k=6)
+    assert len(model.reference) == 2500 and len(model.reference.numbers) > 10
+    got = {r["index"]: r.score for r in outliers.outlier_factors(df, "x", model, "index").collect()}
+    assert got.pop(9000) is None and len(got) == 2500
+
+    place = F.xxhash64(F.col("index").cast("string"), F.lit(42)).bitwiseAND((1 << 52) - 1)
+    order = [r["index"] for r in df.where("x IS NOT NULL").orderBy(place).collect()]
+    ref = x[order]
+    d = ((ref[:, None] - ref[None]) ** 2).sum(axis=2)
+    near = np.argsort(d, axis=1, kind="stable")  # ties to the earlier hash; the first of the equal rows is left out
+    near = np.take_along_axis(near, (d.min(axis=1) == 0).astype(int)[:, None] + np.arange(6), axis=1)
+    far = np.sqrt(np.take_along_axis(d, near, axis=1))
+    reach = far[:, -1]
+    thick = 1 / (np.maximum(far, reach[near]).mean(axis=1) + 1e-10)
+    want = dict(zip(order, thick[near].mean(axis=1) / thick))
+    assert [got[i] for i in range(2500)] == pytest.approx([want[i] for i in range(2500)], rel=1e-9)
+
+
+def test_density_takes_no_fixed_number_of_rows():
+    import inspect
+
+    assert inspect.signature(outliers.density).parameters["most"].default is None

@@ -368,3 +368,25 @@ def test_terms_of_a_small_share_of_the_corpus_do_not_travel(spark, tmp_path, mon
     assert {round(r.tf_score, 9) for r in out.collect()} == {1.0}
     (freq, parts), = asked
     assert layout.hot_keys(freq, "token", parts).count() == 5000 and parts * 200 <= layout.BROADCAST_BYTES
+
+
+def test_top5_profile_moves_words_without_vectors(words, texts, table, vectors, monkeypatch):
+    """No row of a word carries its vector: each group gets a vector once."""
+
+    def refused(*_):
+        raise AssertionError("vectors were joined to words")
+
+    monkeypatch.setattr(similarity.WordVectors, "attach", refused)
+    sent = {}
+    dealt = similarity.WordVectors.dealt
+
+    def kept(self, *args):
+        sent["rows"] = written(dealt(self, *args), "dealt")
+        return dealt(self, *args)
+
+    monkeypatch.setattr(similarity.WordVectors, "dealt", kept)
+    got = {r["index"]: list(r[1:]) for r in similarity.top5_profile(words, vectors).collect()}
+    assert all(got[i] == pytest.approx(loop_profile(t, d, table), abs=1e-9) for i, t, d in texts)
+    with_vector = sent["rows"].where(F.size("vec") > 0)
+    assert with_vector.where("_kind = 1").count() == 0
+    assert with_vector.groupBy("_group", "vec_id").count().where("count > 1").count() == 0
